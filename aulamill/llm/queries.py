@@ -11,6 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "p1_found": "recurring",
     "p1_records": "recurring",
+    "p2_found": "terms",
+    "p2_counts": "terms",
+    "p5_found": "lookalike",
+    "p5_consistent": "lookalike",
+    "p6_ids": "encoding",
+    "p7_containers": "packing",
+    "p7_fill": "packing",
 }
 
 
