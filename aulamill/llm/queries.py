@@ -13,6 +13,7 @@ MODULES = {
     "p1_records": "recurring",
     "p2_found": "terms",
     "p2_counts": "terms",
+    "p4_found": "history",
     "p5_found": "lookalike",
     "p5_consistent": "lookalike",
     "p6_ids": "encoding",
