@@ -19,6 +19,8 @@ MODULES = {
     "p6_ids": "encoding",
     "p7_containers": "packing",
     "p7_fill": "packing",
+    "p8_found": "residue",
+    "p8_reasons": "residue",
 }
 
 
