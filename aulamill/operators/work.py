@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 _local: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def work_root(spark: SparkSession) -> str:
@@ -30,6 +33,20 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="aulamill-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/aulamill/{name}-{uuid.uuid4().hex}"
 

@@ -1,18 +1,559 @@
-"""The core's driver queries and their SQL."""
+"""The core's driver queries, each over whole tables, and their SQL for comparison."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from aulamill.functions import text as X
+from aulamill.operators import enrich, gift, rawcsv, similar, stats
+from aulamill.plans import changes
+from aulamill.sources.files import read_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: White space as a class that Java and RE2 read alike.
+S = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+STRIP = rf"'^{S}+|{S}+$', '', 'g'"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return stats.from_table(read_table(spark, d, "questions"))
+
+
+def _documents(spark: SparkSession, d: str, *formats: str) -> DataFrame:
+    """Documents as files: (doc_id, filepath, content)."""
+    docs = read_table(spark, d, "documents").where("text is not null")
+    if formats:
+        docs = docs.where(F.col("fmt").isin(*formats))
+    return docs.select(
+        "doc_id", F.concat(F.lit("docs/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".gift")).alias("filepath"),
+        F.col("text").alias("content"),
+    )
+
+
+def _doc_id() -> F.Column:
+    return F.regexp_extract("filepath", r"(\d+)\.gift$", 1).cast("long").alias("doc_id")
+
+
+# ---- statistics -----------------------------------------------------------
+
+
+@query(
+    """select qtype as type, count(*) as n,
+    round(count(*)::double / (sum(count(*)) over ())::double * 100, 6) as percent
+    from questions where qtype <> 'Category' group by qtype"""
+)
+def type_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.type_counts(_questions(spark, d))
+
+
+@query(
+    """select coalesce(nullif(title, ''), 'Sin categoría') as category, count(*) as n, count(distinct filepath) as n_files
+    from questions where qtype = 'Category' group by 1"""
+)
+def category_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.category_counts(_questions(spark, d))
+
+
+@query(
+    """select tag, count(*) as n from (select unnest(tags) as tag from questions
+    where qtype not in ('Category', 'Description')) group by tag"""
+)
+def tag_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.tag_counts(_questions(spark, d))
+
+
+@query(
+    """select count(*) filter (qtype <> 'Category') as total_questions,
+    count(*) filter (c and coalesce(len(tags), 0) > 0) as with_tags,
+    count(*) filter (c and coalesce(len(tags), 0) = 0) as without_tags,
+    count(*) filter (c and global_feedback is not null) as with_feedback,
+    count(*) filter (c and global_feedback is null) as without_feedback,
+    count(*) filter (c and coalesce(title, '') = '' and coalesce(stem.text, '') = '') as empty_questions
+    from (select *, qtype not in ('Category', 'Description') as c from questions)"""
+)
+def content_quality(spark: SparkSession, d: str) -> DataFrame:
+    return stats.content_quality(_questions(spark, d))
+
+
+@query(
+    """select length(filepath) - length(replace(filepath, '/', '')) as depth, count(*) as n_files
+    from (select distinct filepath from questions) group by 1"""
+)
+def depth_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.depth_counts(read_table(spark, d, "questions").select("filepath").distinct())
+
+
+@query(
+    """with q as (select *, coalesce(len(list_filter(choices, lambda c: c.is_correct)), 0) as correct,
+      coalesce(list_sum(list_transform(list_filter(choices, lambda c: c.is_correct or coalesce(c.weight > 0, false)),
+        lambda c: coalesce(c.weight, case when c.is_correct then 100.0 else 0.0 end))), 0) as total
+      from questions where qtype not in ('Category', 'Description'))
+    select filepath, ordinal, issue, coalesce(nullif(title, '')[1:50], '<sin título>') as label from (
+      select *, unnest(list_filter([
+        case when coalesce(title, '') = '' and coalesce(stem.text, '') = '' then 'empty' end,
+        case when qtype = 'MC' and correct = 0 and total < 95 then 'mc_without_correct'
+          when qtype = 'Matching' and coalesce(len(match_pairs), 0) < 2 then 'matching_below_two_pairs'
+          when qtype = 'Short' and coalesce(len(choices), 0) = 0 then 'short_without_answers' end
+      ], lambda x: x is not null)) as issue from q)"""
+)
+def question_issues(spark: SparkSession, d: str) -> DataFrame:
+    return stats.issues(_questions(spark, d))
+
+
+@query(
+    """select filepath, ordinal, coalesce(nullif(title, ''), '<sin título>') as title,
+    coalesce(nullif(stem.text, '')[1:100], '<sin texto>') as text from questions where qtype = 'Description'"""
+)
+def description_texts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.descriptions(_questions(spark, d))
+
+
+@query(
+    """select filepath, ordinal, qtype as type, title, id, coalesce(array_to_string(tags, '|'), '') as tags,
+    global_feedback is not null as hasGlobalFeedback, coalesce(has_embedded_answers, false) as hasEmbeddedAnswers,
+    case when qtype = 'MC' then coalesce(len(choices), 0) end as choicesCount,
+    case when qtype = 'MC' then coalesce(len(list_filter(choices, lambda c: c.is_correct)), 0) end as correctChoices,
+    case when qtype = 'TF' then is_true end as isTrue,
+    case when qtype = 'Matching' then coalesce(len(match_pairs), 0) end as matchPairsCount,
+    case when qtype in ('Short', 'Numerical') then coalesce(len(choices), 0) end as answersCount
+    from questions"""
+)
+def question_summary(spark: SparkSession, d: str) -> DataFrame:
+    return gift.summary(_questions(spark, d)).withColumn("tags", F.array_join("tags", "|"))
+
+
+FULL_TEXT = """select question_id, filepath, ordinal, coalesce(title, '') || ' ' || coalesce(stem.text, '') || ' ' ||
+    array_to_string(list_concat(
+      coalesce(list_transform(list_filter(choices, lambda c: c.text is not null), lambda c: coalesce(c.text.text, '')), []),
+      coalesce(flatten(list_transform(match_pairs, lambda p: [coalesce(p.subquestion.text, ''), coalesce(p.subanswer, '')])), [])
+    ), ' ') as full_text from questions where qtype not in ('Category', 'Description')"""
+
+
+@query(FULL_TEXT)
+def full_texts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.full_texts(_questions(spark, d))
+
+
+@query(
+    """select question_id, json_extract_string(payload, '$.type') as type, json_extract_string(payload, '$.title') as title,
+    json_extract_string(payload, '$.stem.format') as stem_format, json_extract_string(payload, '$.stem.text') as stem_text,
+    json_extract_string(payload, '$.id') as id,
+    coalesce(json_array_length(payload, '$.tags'), 0)::bigint as n_tags,
+    coalesce(json_array_length(payload, '$.choices'), 0)::bigint as n_choices from question_wire"""
+)
+def wire_fields(spark: SparkSession, d: str) -> DataFrame:
+    schema = "type string, title string, stem struct<format string, text string>, id string, tags array<string>, choices array<string>"
+    rows = read_table(spark, d, "question_wire").select("question_id", F.from_json("payload", schema).alias("q"))
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return rows.select(
+        "question_id", "q.type", "q.title", F.col("q.stem.format").alias("stem_format"), F.col("q.stem.text").alias("stem_text"),
+        "q.id", n("q.tags").alias("n_tags"), n("q.choices").alias("n_choices"),
+    )
+
+
+@query()
+def wire_json(spark: SparkSession, d: str) -> DataFrame:
+    """Stored questions in the JSON wire form."""
+    return gift.wire(_questions(spark, d))
+
+
+# ---- GIFT parsing of the documents ----------------------------------------
+
+#: Blocks of GIFT documents as the parser cuts them, where a comment lies in its question's block.
+BLOCKS_SQL = rf"""
+    docs as (select doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as text
+      from documents where fmt = 'gift' and text is not null),
+    chunk as (select doc_id, unnest(string_split(regexp_replace(text, '\n([\t\x0b-\r\x1c-\x20\x{{85}}\p{{Z}}]*\n)+', chr(1), 'g'), chr(1))) as chunk,
+      unnest(range(len(string_split(regexp_replace(text, '\n([\t\x0b-\r\x1c-\x20\x{{85}}\p{{Z}}]*\n)+', chr(1), 'g'), chr(1))))) as pos from docs),
+    line as (select doc_id, pos, list_filter(string_split(chunk, chr(10)), lambda s: regexp_matches(s, '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]')) as lines from chunk),
+    body as (select doc_id, pos, list_filter(lines, lambda s: not regexp_matches(s, '^{S}*//')) as body,
+      list_transform(list_filter(lines, lambda s: regexp_matches(s, '^{S}*//')), lambda s: substr(regexp_replace(s, '^{S}+', ''), 3)) as comments from line),
+    block as (select doc_id, row_number() over (partition by doc_id order by pos) - 1 as ordinal,
+      array_to_string(body, chr(10)) as text, array_to_string(comments, chr(10)) as comments from body where len(body) > 0)"""
+PARTS_SQL = rf"""{BLOCKS_SQL},
+    titled as (select doc_id, ordinal, comments,
+      case when regexp_matches(text, '(?s)^::[^:]+(?::[^:]+)*::') then regexp_extract(text, '(?s)^::([^:]+(?::[^:]+)*)::', 1) end as title,
+      case when regexp_matches(text, '(?s)^::[^:]+(?::[^:]+)*::') then regexp_replace(text, '(?s)^::[^:]+(?::[^:]+)*::', '') else text end as rest from block),
+    parts as (select *, instr(rest, '{{') > 0 and instr(rest, '}}') > 0 as has_block,
+      regexp_replace(regexp_extract(rest, '(?s)^[^{{]*\{{(.*)\}}[^}}]*$', 1), '^{S}+|{S}+$', '', 'g') as answers from titled),
+    kinds as (select *, case when not has_block then 'Description' when answers = '' then 'Essay'
+      when regexp_matches(answers, '(?is)^(TRUE|FALSE|T|F){S}*(#.*)?$') then 'TF'
+      when answers[1:1] = '#' then 'Numerical' when contains(answers, '->') then 'Matching' else 'choice' end as kind,
+      regexp_replace(answers, '(?s)####.+$', '') as cut from parts),
+    segs as (select *, list_filter(regexp_extract_all(cut, '[=~][^=~]*'),
+      lambda s: regexp_matches(regexp_replace(regexp_replace(s, '(?s)#.*$', ''), '^[=~]{S}*(%[+-]?\d+(\.\d+)?%)?', ''), '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]')) as seg from kinds)"""
+TYPE_SQL = """case when kind <> 'choice' then kind when len(seg) = 0 and not regexp_matches(cut, '\\S') then 'Essay'
+      when len(list_filter(seg, lambda s: s[1:1] <> '=')) = 0 then 'Short' else 'MC' end"""
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return gift.parse(_documents(spark, d, "gift"))
+
+
+@query(
+    rf"""with {PARTS_SQL} select type, count(*) as n, round(count(*)::double / (sum(count(*)) over ())::double * 100, 6) as percent
+    from (select {TYPE_SQL} as type from segs) group by type"""
+)
+def gift_type_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.type_counts(_parsed(spark, d))
+
+
+@query(
+    rf"""with {PARTS_SQL} select doc_id, ordinal::int as ordinal, {TYPE_SQL} as type,
+    nullif(regexp_replace(title, '^{S}+|{S}+$', '', 'g'), '') as title,
+    array_to_string(list_transform(regexp_extract_all(comments, '\[tag:([^\]]+)\]', 1), lambda t: regexp_replace(t, '^{S}+|{S}+$', '', 'g')), '|') as tags
+    from segs"""
+)
+def gift_questions(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).select(
+        _doc_id(), "ordinal", "type", "title", F.coalesce(F.array_join("tags", "|"), F.lit("")).alias("tags")
+    )
+
+
+@query(
+    rf"""with {PARTS_SQL} select doc_id, ordinal::int as ordinal, (n - 1)::int as pos, s[1:1] = '=' as is_correct,
+    try_cast(nullif(replace(regexp_extract(s, '^[=~]{S}*(%[+-]?\d+(?:\.\d+)?%)?', 1), '%', ''), '') as double) as weight,
+    regexp_replace(regexp_replace(regexp_replace(s, '(?s)#.*$', ''), '^[=~]{S}*(%[+-]?\d+(\.\d+)?%)?', ''), '^{S}+|{S}+$', '', 'g') as text
+    from (select *, unnest(seg) as s, unnest(range(1, len(seg) + 1)) as n from segs where kind = 'choice')
+    where not contains(s, chr(92))
+    union all select doc_id, ordinal::int, 0, true, null, regexp_replace(cut, {STRIP}) from segs
+    where kind = 'choice' and len(seg) = 0 and regexp_matches(cut, '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]') and not contains(cut, chr(92))"""
+)
+def gift_choices(spark: SparkSession, d: str) -> DataFrame:
+    """Choices of multiple-choice and short questions (without escapes, where SQL can follow)."""
+    rows = _parsed(spark, d).where("type in ('MC', 'Short')").select(_doc_id(), "ordinal", F.posexplode("choices").alias("pos", "c"))
+    return rows.select("doc_id", "ordinal", "pos", "c.is_correct", "c.weight", F.col("c.text.text").alias("text"))
+
+
+@query(
+    rf"""with {PARTS_SQL} select doc_id, ordinal::int as ordinal, (n - 1)::int as pos,
+    regexp_replace(l, '^{S}+|{S}+$', '', 'g') as subquestion, regexp_replace(r, '^{S}+|{S}+$', '', 'g') as subanswer from (
+      select *, unnest(regexp_extract_all(cut, '={S}*([^->=~]*?){S}*->{S}*([^=~\n\r]+)', 1)) as l,
+      unnest(regexp_extract_all(cut, '={S}*([^->=~]*?){S}*->{S}*([^=~\n\r]+)', 2)) as r,
+      unnest(range(1, len(regexp_extract_all(cut, '={S}*([^->=~]*?){S}*->{S}*([^=~\n\r]+)')) + 1)) as n from segs where kind = 'Matching')"""
+)
+def gift_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _parsed(spark, d).where("type = 'Matching'").select(_doc_id(), "ordinal", F.posexplode("match_pairs").alias("pos", "p"))
+    return rows.select("doc_id", "ordinal", "pos", F.col("p.subquestion.text").alias("subquestion"), F.col("p.subanswer").alias("subanswer"))
+
+
+@query()
+def gift_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """True/false questions with their feedback (SQL lacks the lookaround this needs)."""
+    return _parsed(spark, d).where("type = 'TF'").select(
+        _doc_id(), "ordinal", "is_true", F.col("true_feedback.text").alias("true_feedback"),
+        F.col("false_feedback.text").alias("false_feedback"), F.col("global_feedback.text").alias("global_feedback"),
+    )
+
+
+# ---- similarity -----------------------------------------------------------
+
+CLEAN = "trim(regexp_replace(lower({}), '[^a-záéíóúñü0-9]+', ' ', 'g'))"
+DOC_WORDS = f"""
+    clean as (select doc_id as id, {CLEAN.format("text")} as clean from documents where text is not null),
+    tok as (select id, unnest(list_filter(string_split(clean, ' '), lambda w: w <> '')) as word from clean),
+    n as (select count(*)::double as n from clean),
+    df as (select word, count(distinct id) as df from tok group by word)"""
+
+
+def _clean_documents(spark: SparkSession, d: str) -> DataFrame:
+    return similar.cleaned(read_table(spark, d, "documents"), "doc_id", "text")
+
+
+def _clean_questions(spark: SparkSession, d: str) -> DataFrame:
+    return similar.cleaned(stats.full_texts(_questions(spark, d)), "question_id", "full_text")
+
+
+@query(f"select doc_id as id, {CLEAN.format('text')} as clean from documents where text is not null")
+def clean_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _clean_documents(spark, d)
+
+
+@query(
+    f"""with {DOC_WORDS} select c.id, coalesce(t.n, 0)::bigint as n_tokens, coalesce(t.w, 0)::bigint as n_words from clean c
+    left join (select id, count(*) as n, count(distinct word) as w from tok group by id) t using (id)"""
+)
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return similar.token_counts(_clean_documents(spark, d))
+
+
+@query(f"with {DOC_WORDS} select word, df, round(ln(n / (1.0 + df)), 9) as idf from df, n")
+def doc_freq(spark: SparkSession, d: str) -> DataFrame:
+    return similar.doc_freq(_clean_documents(spark, d)).select("word", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(
+    f"""with {DOC_WORDS}, keep as (select min(id) as id from clean group by clean),
+    cnt as (select id, word, count(*) as c, sum(count(*)) over (partition by id) as total from tok where id in (select id from keep) group by id, word)
+    select id as class_id, word, round(c::double / total::double, 9) as tf, round(c::double / total::double * ln(n / (1.0 + df)), 9) as tfidf
+    from cnt join df using (word), n"""
+)
+def tfidf(spark: SparkSession, d: str) -> DataFrame:
+    return similar.weights(_clean_documents(spark, d)).select(
+        "class_id", "word", F.round("tf", 9).alias("tf"), F.round("tfidf", 9).alias("tfidf")
+    )
+
+
+QUESTION_WORDS = f"""
+    texts as ({FULL_TEXT}),
+    clean as (select question_id as id, {CLEAN.format("full_text")} as clean from texts),
+    class as (select clean, min(id) as id, count(*) as m from clean group by clean),
+    tok as (select id, m, unnest(list_filter(string_split(clean, ' '), lambda w: w <> '')) as word from class),
+    cnt as (select id, m, word, count(*) as c, sum(count(*)) over (partition by id) as total from tok group by id, m, word),
+    df as (select word, sum(m)::double as df from cnt group by word),
+    vec as (select id, word, c::double / total::double * ln((select sum(m)::double from class) / (1.0 + df)) as v from cnt join df using (word)),
+    norm as (select id, sqrt(sum(v * v)) as norm, count(*) as n from vec group by id)"""
+PAIR_SQL = """
+    dots as (select a.id as a, b.id as b, sum(a.v * b.v) as dot, count(*) as o from vec a join vec b on a.word = b.word and a.id < b.id group by 1, 2),
+    scored as (select a, b, o::double / (x.n + y.n - o) as jaccard, case when x.norm = 0 or y.norm = 0 then 0.0 else dot / (x.norm * y.norm) end as cosine
+      from dots join norm x on x.id = a join norm y on y.id = b),
+    pairs as (select *, cosine * 0.4 + jaccard * 0.6 as similarity from scored where cosine * 0.4 + jaccard * 0.6 >= 0.85)"""
+
+
+@query(
+    f"with {QUESTION_WORDS}, {PAIR_SQL} select a, b, round(jaccard, 6) as jaccard, round(cosine, 6) as cosine, round(similarity, 6) as similarity from pairs"
+)
+def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Similar questions, between classes of equal clean text."""
+    pairs = similar.similar_pairs(_clean_questions(spark, d))
+    return pairs.select("a", "b", *(F.round(c, 6).alias(c) for c in ("jaccard", "cosine", "similarity")))
+
+
+@query(
+    f"with {QUESTION_WORDS} select c.id, k.id as class_id, k.m as n_members from clean c join class k using (clean)"
+)
+def similar_classes(spark: SparkSession, d: str) -> DataFrame:
+    return similar.membership(_clean_questions(spark, d))
+
+
+@query(
+    f"""with {QUESTION_WORDS}, {PAIR_SQL}, both_ways as (select a as id, b as other from pairs union all select b, a from pairs),
+    outside as (select p.id, sum(k.m) as n from both_ways p join class k on k.id = p.other group by p.id)
+    select c.id, k.id as class_id, (coalesce(o.n, 0) + case when coalesce(x.norm, 0) > 0 then k.m - 1 else 0 end)::bigint as n_links
+    from clean c join class k using (clean) left join outside o on o.id = k.id left join norm x on x.id = k.id"""
+)
+def similar_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each question with its class and the number of questions it is similar to."""
+    return similar.links(_clean_questions(spark, d))
+
+
+# ---- text transforms ------------------------------------------------------
+
+def _html_sql(column: str) -> str:
+    for pattern, markdown in X.HTML_RULES:
+        pattern = pattern.replace("\\x85", "\\x{85}")
+        markdown = markdown.replace("$1", "\\1")
+        column = f"regexp_replace({column}, '{pattern}', '{markdown}', 'g')"
+    return f"regexp_replace({column}, {STRIP})"
+
+
+def _chain_sql(column: str, pairs) -> str:
+    for old, new in pairs:
+        column = "replace({}, '{}', '{}')".format(column, old.replace("'", "''"), new.replace("'", "''"))
+    return column
+
+
+@query(f"select doc_id, {_html_sql('text')} as markdown from documents where text is not null")
+def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").where("text is not null").select(
+        "doc_id", X.html_to_markdown(F.col("text")).alias("markdown")
+    )
+
+
+@query(f"select text_id, {_chain_sql('text', X.TO_PLAIN + X.TO_ENTITY)} as plain from formatted_text where text is not null")
+def characters_to_plain(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "formatted_text").where("text is not null").select(
+        "text_id", X.map_characters(F.col("text"), True).alias("plain")
+    )
+
+
+WIDE = X.ENTITY_TO_WIDE + [(p, w) for w, p in X.TO_PLAIN if p not in ("\n", "\t")]
+
+
+@query(f"select text_id, {_chain_sql('text', WIDE)} as wide from formatted_text where text is not null")
+def characters_to_wide(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "formatted_text").where("text is not null").select(
+        "text_id", X.map_characters(F.col("text"), False).alias("wide")
+    )
+
+
+@query(
+    rf"""with t as (select text_id, string_split(regexp_replace(text, '`[^`\n]+`', chr(1), 'g'), chr(1)) as o,
+      regexp_extract_all(text, '`[^`\n]+`') as m from formatted_text where text is not null and not contains(text, '```'))
+    select text_id, array_to_string(list_transform(range(1, len(o) + 1), lambda i: o[i] || coalesce({_chain_sql("m[i]", WIDE)}, '')), '') as mapped from t"""
+)
+def code_spans_to_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Characters inside code spans as full-width ones (texts without fences, where SQL can follow)."""
+    rows = read_table(spark, d, "formatted_text").where("text is not null and not contains(text, '```')")
+    return rows.select("text_id", X.map_code(F.col("text"), False).alias("mapped"))
+
+
+@query()
+def code_indents(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").where("text is not null")
+    return rows.select("doc_id", X.indent_code(F.col("text")).alias("indented"), X.count_indents(F.col("text")).alias("n"))
+
+
+@query(
+    rf"""with t as (select doc_id, text, regexp_extract_all(text, '(?s)<text[^>]*>.*?</text>') as m from documents where fmt = 'xml' and text is not null and not regexp_matches(text, '<text[^>]*/>'))
+    select doc_id, len(list_filter(m, lambda b: regexp_matches(regexp_extract(b, '(?s)^<text[^>]*>(.*?)</text>$', 1), '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]')
+      and not regexp_matches(b, '(?s)^<text[^>]*>{S}*<!\[CDATA\['))) as n_missing from t"""
+)
+def cdata_missing(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null").where(~F.col("text").rlike(r"<text[^>]*/>"))
+    return rows.select("doc_id", X.count_missing_cdata(F.col("text")).cast("long").alias("n_missing"))
+
+
+@query()
+def cdata_ensured(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
+    return rows.select("doc_id", X.ensure_cdata(F.col("text")).alias("xml"))
+
+
+@query()
+def tags_removed(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
+    return rows.select("doc_id", X.remove_tags(F.col("text")).alias("xml"), X.count_tags(F.col("text")).alias("n"))
+
+
+@query(
+    rf"""select question_id, lower(regexp_replace(regexp_replace(regexp_replace(strip_accents(title), '[^A-Za-z0-9_\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '[-\s]+', '_', 'g')) as slug
+    from questions where title is not null and regexp_matches(title, '^[\x20-\x7e\x{{c0}}-\x{{ff}}]*$') and not regexp_matches(title, '[\x{{d7}}\x{{f7}}\x{{c6}}\x{{e6}}\x{{d8}}\x{{f8}}\x{{df}}\x{{d0}}\x{{f0}}\x{{de}}\x{{fe}}]')"""
+)
+def slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Slugs of titles (in Latin letters with accents, where SQL can follow)."""
+    rows = read_table(spark, d, "questions").where(
+        F.col("title").rlike("^[\\x20-\\x7eÀ-ÿ]*\\z") & ~F.col("title").rlike("[×÷ÆæØøßÐðÞþ]")
+    )
+    return rows.select("question_id", X.slugify("title").alias("slug"))
+
+
+@query(
+    rf"""select question_id, lower(regexp_replace(regexp_replace(regexp_replace(title, '[^\p{{L}}\p{{N}}_\t-\r\x1c-\x20\x{{85}}\p{{Z}}-]', '', 'g'), {STRIP}), '[-\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+', '_', 'g')[1:100]) as name
+    from questions where title is not null"""
+)
+def file_names(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "questions").where("title is not null").select(
+        "question_id", X.sanitize_filename(F.col("title")).alias("name")
+    )
+
+
+@query(
+    """select filepath, upper(replace(s, '_', ' ')[1:1]) || lower(replace(s, '_', ' ')[2:]) as title
+    from (select distinct filepath, regexp_extract(filepath, '([^/]*?)(?:\\.[^./]*)?$', 1) as s from questions)"""
+)
+def titles_from_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = changes.with_parts(read_table(spark, d, "questions").select("filepath").distinct())
+    return rows.select("filepath", X.title_from_name(F.col("stem")).alias("title"))
+
+
+@query()
+def gift_formatted(spark: SparkSession, d: str) -> DataFrame:
+    rows = _documents(spark, d, "gift")
+    return rows.select("doc_id", X.format_gift(F.col("content")).alias("formatted"), X.format_gift(F.col("content"), True).alias("correct_first"))
+
+
+# ---- plans of changes and batches -----------------------------------------
+
+SPLIT_SQL = rf"""
+    src as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\n{S}*\n', chr(1), 'g'), chr(1)),
+      lambda s: regexp_replace(s, {STRIP})), lambda s: s <> '') as blocks from documents where fmt = 'gift' and text is not null)"""
+
+
+@query(
+    rf"""with {SPLIT_SQL} select doc_id, unnest(range(len(blocks)))::int as pos, unnest(blocks) as block from src"""
+)
+def gift_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d, "gift").select("doc_id", F.posexplode(X.gift_blocks(F.col("content"))).alias("pos", "block"))
+
+
+@query(
+    rf"""with {SPLIT_SQL}, b as (select doc_id, unnest(range(len(blocks))) as pos, unnest(blocks) as block from src),
+    k as (select *, row_number() over (order by doc_id, pos) - 1 as n from b)
+    select (n // 5)::bigint as batch_id, (n % 5)::int as slot, doc_id, pos::int as pos from k"""
+)
+def batches_of_five(spark: SparkSession, d: str) -> DataFrame:
+    return enrich.batched(_documents(spark, d, "gift"), 5).select("batch_id", "slot", _doc_id(), "pos")
+
+
+@query()
+def split_plan(spark: SparkSession, d: str) -> DataFrame:
+    return changes.split_files(_documents(spark, d, "gift"))
+
+
+@query()
+def slug_rename_plan(spark: SparkSession, d: str) -> DataFrame:
+    return changes.rename_to_slug(read_table(spark, d, "questions").select("filepath").distinct())
+
+
+@query()
+def title_rename_plan(spark: SparkSession, d: str) -> DataFrame:
+    return changes.rename_from_title(_documents(spark, d, "gift"))
+
+
+@query()
+def enriched_files(spark: SparkSession, d: str) -> DataFrame:
+    """The batch path with the stand-in service that returns its input."""
+    return enrich.outputs(enrich.enriched(_documents(spark, d, "gift")))
+
+
+# ---- raw rows -------------------------------------------------------------
+
+FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+RAW_SQL = rf"""
+    t as (select line_id, try(decode(raw_line)) as s from raw_stats),
+    f as (select *, case when s is null then 'encoding'
+        when not regexp_matches(s, '(?s)^(?:"(?:[^"]|"")*"|[^",][^",]*|)(?:,(?:"(?:[^"]|"")*"|[^",]+|))*$') then 'quoting'
+        when not regexp_matches(s, '(?s)^{FIELD}(?:,{FIELD}){{7}}$') or regexp_matches(s, '(?s)^(?:(?:"(?:[^"]|"")*"|[^",\r\n]*),)*[^",\r\n]*[\r\n]') then 'columns' end as early from t),
+    g as (select *, regexp_extract(s, '(?s)^({FIELD}),({FIELD}),({FIELD}),({FIELD}),({FIELD}),({FIELD}),({FIELD}),({FIELD})$', ['a', 'b', 'c', 'd', 'e', 'f', 'p', 'h']) as r from f),
+    h as (select line_id, early, list_transform([r.a, r.b, r.c, r.d, r.e, r.f, r.p],
+      lambda x: case when x[1:1] = '"' then replace(x[2:-2], '""', '"') else x end) as v from g),
+    k as (select *, case when early is not null then early when not (
+      regexp_matches(v[1], '^[1-9][0-9]{{0,17}}$') and v[2] <> '' and not regexp_matches(v[2], '^{S}|{S}$')
+      and regexp_matches(v[3], '^\d{{4}}-\d\d-\d\d \d\d:\d\d:\d\d$') and try_strptime(v[3], '%Y-%m-%d %H:%M:%S') is not null
+      and regexp_matches(v[4], '^[0-9]{{1,9}}$') and regexp_matches(v[5], '^[0-9]{{1,9}}$') and regexp_matches(v[6], '^[0-9]{{1,9}}$')
+      and regexp_matches(v[7], '^(?:|100(?:\.0{{1,4}})?|[0-9]{{1,2}}(?:\.[0-9]{{1,4}})?)$')) then 'value' end as failure from h)"""
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    columns = rawcsv.declared_columns(read_table(spark, d, "raw_column"))
+    return rawcsv.read_records(read_table(spark, d, "raw_stats"), columns)
+
+
+@query(f"with {RAW_SQL} select line_id, failure from k where failure is not null")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return rawcsv.rejects(_raw(spark, d)).select("line_id", "failure")
+
+
+@query(
+    f"""with {RAW_SQL} select line_id, v[1]::bigint as scan_id, v[2] as root_dir, strptime(v[3], '%Y-%m-%d %H:%M:%S') as scanned_at,
+    v[4]::bigint as total_files, v[5]::bigint as valid_files, v[6]::bigint as invalid_files, try_cast(nullif(v[7], '') as double) as with_tags_pct
+    from k where failure is null"""
+)
+def p3_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The valid rows as typed columns."""
+    return rawcsv.valid_records(_raw(spark, d)).drop("parse_errors")
