@@ -175,7 +175,7 @@ def test_history_edges(spark):
 
 def test_sketches_never_hide_a_pair():
     rng = np.random.default_rng(3)
-    sketcher = history.Sketcher(np.zeros(history.SLOTS // 8, np.uint8), 5.0)
+    sketcher = history.Sketcher(np.zeros(history.SLOTS, np.float16), 5.0)
     import pyarrow as pa
 
     for _ in range(200):
