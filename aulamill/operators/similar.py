@@ -4,8 +4,8 @@ Texts with equal clean text are one class; pairs are formed between classes, so
 copies never multiply, and membership is its own table. As cosine is at most 1,
 the score needs a Jaccard of at least (threshold - 0.4) / 0.6, and two such
 sets share a word of their rarest-first prefix, so only prefix words are
-joined. Each pair is emitted for its first shared prefix word only, with a
-64-bit signature of both sets that drops most of the rest before any text moves.
+joined. A 64-bit signature of each set and the place of the shared word drop
+most pairs within the join, before any text moves.
 For thresholds that leave no bound the prefix is the whole set.
 
 Defined cases: null texts are left out; texts without words are similar to
@@ -14,8 +14,6 @@ nothing; ties keep both; fewer than two texts give no pair.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +64,7 @@ def doc_freq(clean: DataFrame) -> DataFrame:
 
 
 def weights(clean: DataFrame) -> DataFrame:
-    """(class_id, word, tf, tfidf, df, n_words) of each distinct word of each class."""
+    """(class_id, word, tf, tfidf, df) of each distinct word of each class."""
     groups = classes(clean)
     words = tokens(F.col("clean"))
     long = (
@@ -201,6 +199,12 @@ def links(clean: DataFrame, threshold: float = 0.85) -> DataFrame:
     return members.select("id", "class_id").join(counted, "class_id")
 
 
-def required_overlap(n: int, jaccard: float) -> int:
-    """Words a set of n words must share with any set of that similarity."""
-    return max(0, math.ceil(n * jaccard - 1e-9))
+def with_questions(pairs: DataFrame, questions: DataFrame, key: str = "question_id") -> DataFrame:
+    """Pairs (a, b, similarity) with the file, title and type of both questions."""
+
+    def side(name: str) -> DataFrame:
+        return questions.select(
+            F.col(key).alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("filepath", "title", "type"))
+        )
+
+    return pairs.join(side("a"), "a").join(side("b"), "b")

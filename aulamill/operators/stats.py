@@ -55,6 +55,13 @@ def category_counts(questions: DataFrame) -> DataFrame:
     )
 
 
+def category_files(questions: DataFrame) -> DataFrame:
+    """(category, filepath, n): the files that name each category, and how often."""
+    name = F.coalesce(F.nullif("title", F.lit("")), F.lit(NO_CATEGORY))
+    named = questions.where("type = 'Category'").select(name.alias("category"), "filepath")
+    return named.groupBy("category", "filepath").agg(F.count(F.lit(1)).alias("n"))
+
+
 def tag_counts(questions: DataFrame) -> DataFrame:
     """(tag, n); a tag repeated in a question counts each time."""
     return (

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from aulamill.functions import text as X
 from aulamill.operators import enrich, gift, rawcsv, similar, stats
-from aulamill.plans import changes
+from aulamill.operators.work import stored
+from aulamill.plans import changes, report
 from aulamill.sources.files import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +79,14 @@ def category_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.category_counts(_questions(spark, d))
 
 
+@query(
+    """select coalesce(nullif(title, ''), 'Sin categoría') as category, filepath, count(*) as n
+    from questions where qtype = 'Category' group by 1, 2"""
+)
+def category_files(spark: SparkSession, d: str) -> DataFrame:
+    return stats.category_files(_questions(spark, d))
+
+
 @query(
     """select tag, count(*) as n from (select unnest(tags) as tag from questions
     where qtype not in ('Category', 'Description')) group by tag"""
@@ -361,6 +370,16 @@ def similar_links(spark: SparkSession, d: str) -> DataFrame:
     return similar.links(_clean_questions(spark, d))
 
 
+@query(
+    f"""with {QUESTION_WORDS}, {PAIR_SQL} select a, b, round(similarity, 6) as similarity, x.filepath as filepath_a, x.title as title_a, x.qtype as type_a,
+    y.filepath as filepath_b, y.title as title_b, y.qtype as type_b from pairs join questions x on x.question_id = a join questions y on y.question_id = b"""
+)
+def similar_named(spark: SparkSession, d: str) -> DataFrame:
+    """Similar questions with their files, titles and types."""
+    pairs = similar.similar_pairs(_clean_questions(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return similar.with_questions(pairs, _questions(spark, d))
+
+
 # ---- text transforms ------------------------------------------------------
 
 def _html_sql(column: str) -> str:
@@ -477,6 +496,46 @@ def gift_formatted(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", X.format_gift(F.col("content")).alias("formatted"), X.format_gift(F.col("content"), True).alias("correct_first"))
 
 
+@query()
+def html_in_xml(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
+    return rows.select("doc_id", X.html_to_markdown_in_xml(F.col("text")).alias("xml"))
+
+
+@query()
+def code_in_cdata(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
+    return rows.select("doc_id", X.map_code_in_cdata(F.col("text"), False).alias("xml"))
+
+
+@query(
+    rf"""select doc_id, nullif(regexp_replace(regexp_extract(text, '(?s)^::(.*?)::', 1), {STRIP}), '') as title
+    from documents where fmt = 'gift' and text is not null and regexp_matches(text, '(?s)^::.*?::')"""
+)
+def gift_titles(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").where("fmt = 'gift' and text is not null")
+    titled = rows.select("doc_id", F.nullif(X.gift_title(F.col("text")), F.lit("")).alias("title"), "text")
+    return titled.where(F.col("text").rlike("(?s)^::.*?::")).drop("text")
+
+
+@query(
+    rf"""select doc_id, '::Nuevo $1::' || case when regexp_matches(text, '(?s)^::.*?::') then regexp_replace(text, '(?s)^::.*?::', '')
+    else chr(10) || text end as gift from documents where fmt = 'gift' and text is not null"""
+)
+def gift_retitled(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").where("fmt = 'gift' and text is not null")
+    return rows.select("doc_id", X.set_gift_title(F.col("text"), F.lit("Nuevo $1")).alias("gift"))
+
+
+@query(
+    rf"""select doc_id, nullif(regexp_replace(regexp_replace(regexp_extract(text, '(?s)<question[ >].*?<name>{S}*<text[^>]*>(.*?)</text>', 1),
+    '(?s)<!\[CDATA\[(.*?)\]\]>', '\1', 'g'), {STRIP}), '') as title from documents where fmt = 'xml' and text is not null"""
+)
+def xml_titles(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
+    return rows.select("doc_id", X.xml_title(F.col("text")).alias("title"))
+
+
 # ---- plans of changes and batches -----------------------------------------
 
 SPLIT_SQL = rf"""
@@ -515,6 +574,35 @@ def title_rename_plan(spark: SparkSession, d: str) -> DataFrame:
     return changes.rename_from_title(_documents(spark, d, "gift"))
 
 
+@query()
+def xml_rename_plan(spark: SparkSession, d: str) -> DataFrame:
+    return changes.rename_xml(_documents(spark, d, "xml"))
+
+
+@query()
+def title_from_name_plan(spark: SparkSession, d: str) -> DataFrame:
+    return changes.titles_from_names(_documents(spark, d, "gift"))
+
+
+def _bank(spark: SparkSession, d: str) -> report.Bank:
+    """The GIFT documents as a bank of files."""
+    files = _documents(spark, d, "gift").select("filepath", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+    return report.Bank(files, stored(_parsed(spark, d), "parsed"), "docs")
+
+
+@query()
+def bank_report(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the bank report."""
+    return report.report_lines(_bank(spark, d))
+
+
+@query()
+def bank_json(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of the bank as JSON, and each finding."""
+    bank = _bank(spark, d)
+    return report.as_json(bank).select(F.lit("stats").alias("section"), F.col("stats").alias("json")).unionByName(report.findings(bank))
+
+
 @query()
 def enriched_files(spark: SparkSession, d: str) -> DataFrame:
     """The batch path with the stand-in service that returns its input."""

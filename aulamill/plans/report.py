@@ -197,3 +197,23 @@ def as_json(bank: Bank) -> DataFrame:
     counters = [F.col(v).alias(k) for k, v in names.items()]
     maps = [F.col(c) for c in ("byType", "byCategory", "byTag", "filesByDepth")]
     return one.select(F.to_json(F.struct(*counters, *maps)).alias("stats"))
+
+
+def findings(bank: Bank) -> DataFrame:
+    """(section, json): each issue, parse error, description and pair of similar questions as JSON, one row each."""
+    q = bank.questions
+    key = F.concat_ws("#", "filepath", F.lpad(F.col("ordinal").cast("string"), 9, "0"))
+    keyed = q.withColumn("key", key)
+    pairs = similar.with_questions(bank.pairs(), keyed, "key")
+    side = lambda x: F.struct(*(F.col(f"{c}_{x}").alias(c) for c in ("filepath", "title", "type")))
+    parts = {
+        "issues": _issue_lines(bank).select(F.struct(F.trim("line").alias("issue")).alias("x")),
+        "parseErrors": bank.files.where(~F.col("success")).select(F.struct("filepath", F.struct(F.col("error").alias("message")).alias("error")).alias("x")),
+        "descriptions": stats.descriptions(q).select(F.struct("filepath", "title", "text").alias("x")),
+        "duplicates": pairs.select(F.struct("similarity", side("a").alias("question1"), side("b").alias("question2")).alias("x")),
+    }
+    out = None
+    for name, rows in parts.items():
+        part = rows.select(F.lit(name).alias("section"), F.to_json("x").alias("json"))
+        out = part if out is None else out.unionByName(part)
+    return out
