@@ -313,52 +313,86 @@ def gift_blocks(content: Column) -> Column:
     return F.filter(F.transform(F.split(content, rf"\n{SPACE}*\n", -1), strip), lambda p: p != "")
 
 
-def _format_block(block: Column, correct_first: bool) -> Column:
-    head = r"(?s)^((?:[\t-\r\x1c-\x20\x85\p{Z}]*(?://|\$)[^\n]*(?:\n|\z)|[\t-\r\x1c-\x20\x85\p{Z}]*\n)*)"
-    notes = F.filter(F.transform(F.split(F.regexp_extract(block, head, 1), "\n"), strip), lambda s: s != "")
-    body = strip(F.regexp_replace(block, head, ""))
-    titled = body.rlike(r"(?s)^::.*?::")
-    title = F.when(
-        titled, F.concat(F.lit("::"), strip(F.regexp_extract(body, r"(?s)^::(.*?)::", 1)), F.lit("::"))
-    ).otherwise("")
-    body = F.when(titled, strip(F.regexp_replace(body, r"(?s)^::.*?::", ""))).otherwise(body)
-    opened = r"(?s)^(.*?)(?<!\\)\{(.*)\z"
-    closed = r"(?s)^(.*)(?<!\\)\}(.*?)\z"
-    has_answers = body.rlike(opened)
-    stem = F.when(has_answers, strip(F.regexp_extract(body, opened, 1))).otherwise(body)
-    after = F.regexp_extract(body, opened, 2)
-    ends = after.rlike(closed)
-    answers = strip(F.when(ends, F.regexp_extract(after, closed, 1)).otherwise(after))
-    tail = F.when(has_answers & ends, strip(F.regexp_extract(after, closed, 2))).otherwise("")
-    lines = F.filter(F.transform(F.split(answers, "\n"), strip), lambda s: s != "")
-    # A line that starts no answer goes on the one before: join with a space unless a new answer begins.
-    joined = F.aggregate(
-        lines,
-        F.lit(""),
-        lambda a, s: F.when(a == "", s)
-        .when(s.rlike("^[=~#{]"), F.concat(a, F.lit("\n"), s))
-        .otherwise(F.concat(a, F.lit(" "), s)),
+HEAD = rf"(?s)^((?:{SPACE}*(?://|\$)[^\n]*(?:\n|\z)|{SPACE}*\n)*)"
+TITLED = r"(?s)^::(.*?)::"
+OPENED = r"(?s)^(.*?)(?<!\\)\{(.*)\z"
+CLOSED = r"(?s)^(.*)(?<!\\)\}(.*?)\z"
+
+
+def _laid_out(blocks: Column, correct_first: bool) -> Column:
+    """The blocks in the standard layout. Each transform is a step whose results the next one names."""
+    filled = lambda a: F.filter(a, lambda s: s != "")
+    stripped = lambda a: filled(F.transform(a, strip))
+    steps = F.transform(
+        blocks,
+        lambda b: F.struct(
+            stripped(F.split(F.regexp_extract(b, HEAD, 1), "\n")).alias("notes"),
+            strip(F.regexp_replace(b, HEAD, "")).alias("body"),
+        ),
     )
-    listed = F.filter(F.split(joined, "\n"), lambda s: s != "")
-    if correct_first:
-        right = F.filter(listed, lambda s: s.startswith("="))
-        wrong = F.filter(listed, lambda s: s.startswith("~"))
-        other = F.filter(listed, lambda s: ~s.rlike("^[=~]"))
-        listed = F.when((F.size(right) > 0) & (F.size(wrong) > 0), F.concat(right, wrong, other)).otherwise(listed)
-    empty = F.filter(F.array(F.lit("")), lambda s: s != "")
-    parts = F.concat(
-        notes,
-        F.filter(F.array(title, stem), lambda s: s != ""),
-        F.when(
-            has_answers,
-            F.concat(F.array(F.lit("{")), F.transform(listed, lambda s: F.concat(F.lit("    "), s)), F.array(F.lit("}"))),
-        ).otherwise(empty),
-        F.filter(F.array(tail), lambda s: s != ""),
+    steps = F.transform(
+        steps,
+        lambda x: F.struct(
+            x["notes"].alias("notes"),
+            F.when(x["body"].rlike(TITLED), F.concat(F.lit("::"), strip(F.regexp_extract(x["body"], TITLED, 1)), F.lit("::")))
+            .otherwise("")
+            .alias("title"),
+            strip(F.regexp_replace(x["body"], TITLED, "")).alias("body"),
+        ),
     )
-    return F.array_join(parts, "\n")
+    steps = F.transform(
+        steps,
+        lambda x: F.struct(
+            x["notes"].alias("notes"),
+            x["title"].alias("title"),
+            x["body"].rlike(OPENED).alias("opened"),
+            strip(F.when(x["body"].rlike(OPENED), F.regexp_extract(x["body"], OPENED, 1)).otherwise(x["body"])).alias("stem"),
+            F.regexp_extract(x["body"], OPENED, 2).alias("after"),
+        ),
+    )
+    steps = F.transform(
+        steps,
+        lambda x: F.struct(
+            x["notes"].alias("notes"),
+            x["title"].alias("title"),
+            x["opened"].alias("opened"),
+            x["stem"].alias("stem"),
+            stripped(
+                F.split(F.when(x["after"].rlike(CLOSED), F.regexp_extract(x["after"], CLOSED, 1)).otherwise(x["after"]), "\n")
+            ).alias("lines"),
+            strip(F.when(x["opened"], F.regexp_extract(x["after"], CLOSED, 2)).otherwise("")).alias("tail"),
+        ),
+    )
+    # A line that starts no answer goes on the one before.
+    joined = lambda lines: F.regexp_replace(F.array_join(lines, "\n"), r"\n(?![=~#{])", " ")
+    steps = F.transform(
+        steps,
+        lambda x: F.struct(
+            x["notes"].alias("notes"),
+            filled(F.array(x["title"], x["stem"])).alias("top"),
+            x["opened"].alias("opened"),
+            filled(F.split(joined(x["lines"]), "\n")).alias("answers"),
+            x["tail"].alias("tail"),
+        ),
+    )
+
+    def ordered(answers: Column) -> Column:
+        if not correct_first:
+            return answers
+        right, wrong = F.filter(answers, lambda s: s.startswith("=")), F.filter(answers, lambda s: s.startswith("~"))
+        other = F.filter(answers, lambda s: ~s.rlike("^[=~]"))
+        return F.when((F.size(right) > 0) & (F.size(wrong) > 0), F.concat(right, wrong, other)).otherwise(answers)
+
+    def put_together(x: Column) -> Column:
+        indented = F.transform(ordered(x["answers"]), lambda s: F.concat(F.lit("    "), s))
+        answers = F.concat(F.array(F.lit("{")), indented, F.array(F.lit("}")))
+        parts = F.concat(x["notes"], x["top"], F.when(x["opened"], answers).otherwise(filled(F.array(F.lit("")))), filled(F.array(x["tail"])))
+        return F.array_join(parts, "\n")
+
+    return F.transform(steps, put_together)
 
 
 def format_gift(content: Column, correct_first: bool = False) -> Column:
     """GIFT text in the standard layout: notes, title, stem, answers indented by four, tail."""
     blocks = F.filter(F.split(strip(content), rf"\n{SPACE}*\n", -1), has_text)
-    return F.concat(F.array_join(F.transform(blocks, lambda b: _format_block(b, correct_first)), "\n\n"), F.lit("\n"))
+    return F.concat(F.array_join(_laid_out(blocks, correct_first), "\n\n"), F.lit("\n"))

@@ -39,7 +39,7 @@ def formatted(text: Column) -> Column:
 
 
 def blocks(files: DataFrame, path: str = "filepath", content: str = "content") -> DataFrame:
-    """(filepath, ordinal, category, text, comments): one row per question block and category, in order."""
+    """(filepath, place, category, text, comments): one row per question block and category; place orders them."""
     own_line = F.regexp_replace(
         newlines(F.col(content)), rf"(?md)^({BLANK}*\$CATEGORY:[^\n]*)$", "\n\n$1\n\n"
     )
@@ -73,21 +73,15 @@ def blocks(files: DataFrame, path: str = "filepath", content: str = "content") -
             ),
         )
     )
-    order = Window.partitionBy("filepath").orderBy("goes_to")
     return held.select(
-        "filepath",
-        (F.row_number().over(order) - 1).alias("ordinal"),
-        "category",
-        F.array_join("body", "\n").alias("text"),
-        "comments",
+        "filepath", F.col("goes_to").alias("place"), "category", F.array_join("body", "\n").alias("text"), "comments"
     )
 
 
-def _choices(block: Column, numerical: bool) -> Column:
-    gap = "" if numerical else f"{SPACE}*"
+def _parts(segments: Column, gap: str) -> Column:
     form = rf"(?s)^([=~]){gap}({WEIGHT})?{gap}([^#]*)(?:#(.*))?\z"
-    parts = F.transform(
-        F.regexp_extract_all(block, F.lit("[=~][^=~]*"), F.lit(0)),
+    return F.transform(
+        segments,
         lambda s: F.struct(
             s.startswith("=").alias("is_correct"),
             F.regexp_extract(s, form, 2).alias("weight"),
@@ -95,30 +89,39 @@ def _choices(block: Column, numerical: bool) -> Column:
             F.regexp_extract(s, form, 4).alias("feedback"),
         ),
     )
-    kept = parts if numerical else F.filter(parts, lambda p: has_text(p["text"]))
-    value = (
-        (lambda t: F.when(has_text(t), F.struct(F.lit("moodle").alias("format"), strip(t).alias("text"))))
-        if numerical
-        else formatted
+
+
+def _choices(found: DataFrame) -> DataFrame:
+    """Adds ``choices`` from ``kind`` and ``cut``; each step is a column, so none is computed twice."""
+    numerical, cut = F.col("kind") == "Numerical", F.col("cut")
+    raw = lambda t: F.when(has_text(t), F.struct(F.lit("moodle").alias("format"), strip(t).alias("text")))
+    found = found.withColumn(
+        "segments", F.when(F.col("kind").isin("Numerical", "choice"), F.regexp_extract_all(cut, F.lit("[=~][^=~]*"), F.lit(0)))
     )
-    found = F.transform(
-        kept,
-        lambda p: F.struct(
-            p["is_correct"].alias("is_correct"),
-            F.when(p["weight"] != "", F.replace(p["weight"], F.lit("%"), F.lit("")).cast("double")).alias("weight"),
-            value(p["text"]).alias("text"),
-            F.when(p["feedback"] != "", formatted(p["feedback"])).alias("feedback"),
+    segments = F.col("segments")
+    found = found.withColumn(
+        "parts",
+        F.when(numerical, _parts(segments, "")).otherwise(
+            F.filter(_parts(segments, f"{SPACE}*"), lambda p: has_text(p["text"]))
         ),
     )
-    alone = F.array(
+    choice = lambda value: lambda p: F.struct(
+        p["is_correct"].alias("is_correct"),
+        F.when(p["weight"] != "", F.replace(p["weight"], F.lit("%"), F.lit("")).cast("double")).alias("weight"),
+        value(p["text"]).alias("text"),
+        F.when(p["feedback"] != "", formatted(p["feedback"])).alias("feedback"),
+    )
+    whole = F.array(
         F.struct(
             F.lit(True).alias("is_correct"),
             F.lit(None).cast("double").alias("weight"),
-            value(block).alias("text"),
+            F.when(numerical, raw(cut)).otherwise(formatted(cut)).alias("text"),
             F.lit(None).cast(FORMATTED).alias("feedback"),
         )
     )
-    return F.when(F.size(found) > 0, found).when(has_text(block), alone)
+    chosen = F.when(numerical, F.transform("parts", choice(raw))).otherwise(F.transform("parts", choice(formatted)))
+    choices = F.when(F.size("parts") > 0, chosen).when(segments.isNotNull() & has_text(cut), whole)
+    return found.withColumn("choices", choices.cast(CHOICES))
 
 
 def parse_blocks(found: DataFrame) -> DataFrame:
@@ -164,36 +167,44 @@ def parse_blocks(found: DataFrame) -> DataFrame:
         .when(answers.contains("->"), "Matching")
         .otherwise("choice")
     )
-    found = found.withColumn("kind", kind).withColumn("stem", F.when(~F.col("category"), stem))
+    # The generator keeps a later filter on a parsed column from being pushed down as copies of the steps so far.
+    first_part = F.struct(
+        "category", "title", "has_block", "answers", "after", kind.alias("kind"), F.when(~F.col("category"), stem).alias("stem")
+    )
+    found = found.select("filepath", "place", "comments", F.inline(F.array(first_part)))
     kind = F.col("kind")
     # The leading # of a numerical block is not part of it.
-    inner = F.when(kind == "Numerical", F.substr(answers, F.lit(2))).otherwise(answers)
-    overall = F.regexp_extract(inner, r"(?s)####(.+)\z", 1)
-    cut = F.regexp_replace(inner, r"(?s)####.+\z", "")
+    found = found.withColumn("inner", F.when(kind == "Numerical", F.substr(answers, F.lit(2))).otherwise(answers))
+    is_tf, has_choices = kind == "TF", kind.isin("Numerical", "choice")
+    found = found.withColumns(
+        {
+            "overall": F.when(
+                is_tf | has_choices | (kind == "Matching"), F.regexp_extract("inner", r"(?s)####(.+)\z", 1)
+            ),
+            "cut": F.regexp_replace("inner", r"(?s)####.+\z", ""),
+        }
+    )
     tf_notes = F.filter(
         F.split(F.regexp_extract(answers, tf_form, 2), r"(?<!#)#(?!###)", -1),
         lambda p: has_text(p) & ~strip(p).startswith("###"),
     )
     pair_form = rf"(?s)={SPACE}*([^->=~]*?){SPACE}*->{SPACE}*([^=~\n\r]+)"
-    pairs = F.zip_with(
-        F.regexp_extract_all(cut, F.lit(pair_form), F.lit(1)),
-        F.regexp_extract_all(cut, F.lit(pair_form), F.lit(2)),
-        lambda a, b: F.struct(formatted(a).alias("subquestion"), unescape(strip(b)).alias("subanswer")),
+    pairs = F.when(
+        kind == "Matching",
+        F.zip_with(
+            F.regexp_extract_all("cut", F.lit(pair_form), F.lit(1)),
+            F.regexp_extract_all("cut", F.lit(pair_form), F.lit(2)),
+            lambda a, b: F.struct(formatted(a).alias("subquestion"), unescape(strip(b)).alias("subanswer")),
+        ),
     )
-    is_tf, has_choices = kind == "TF", kind.isin("Numerical", "choice")
-    choices = F.when(kind == "Numerical", _choices(cut, True)).when(kind == "choice", _choices(cut, False))
-    found = found.withColumns(
+    found = _choices(found).withColumns(
         {
-            "choices": F.when(has_choices, choices).cast(CHOICES),
-            "match_pairs": F.when((kind == "Matching") & (F.size(pairs) > 0), pairs).cast(PAIRS),
-            "overall": F.when(is_tf | has_choices | (kind == "Matching"), overall),
+            "pairs": pairs.cast(PAIRS),
             "notes": F.when(is_tf, tf_notes),
             "tags": F.flatten(
                 F.transform(
                     "comments",
-                    lambda c: F.transform(
-                        F.regexp_extract_all(c, F.lit(r"\[tag:([^\]]+)\]"), F.lit(1)), strip
-                    ),
+                    lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"\[tag:([^\]]+)\]"), F.lit(1)), strip),
                 )
             ),
             "ids": F.filter(
@@ -205,9 +216,9 @@ def parse_blocks(found: DataFrame) -> DataFrame:
     chosen = F.when(kind != "choice", kind).when(F.col("choices").isNull(), "Essay").otherwise(mc)
     note = lambda i: F.when(F.size("notes") >= i, formatted(F.try_element_at("notes", F.lit(i))))
     plain = ~F.col("category")
-    return found.select(
+    typed = found.select(
         "filepath",
-        "ordinal",
+        "place",
         chosen.alias("type"),
         F.nullif("title", F.lit("")).alias("title"),
         "stem",
@@ -216,11 +227,14 @@ def parse_blocks(found: DataFrame) -> DataFrame:
         (F.col("has_block") & (after != "") & plain).alias("has_embedded_answers"),
         F.when(F.col("overall") != "", formatted(F.col("overall"))).alias("global_feedback"),
         "choices",
-        "match_pairs",
+        F.when(F.size("pairs") > 0, F.col("pairs")).alias("match_pairs"),
         F.when(is_tf, answers.rlike("(?i)^T")).alias("is_true"),
         note(1).alias("true_feedback"),
         note(2).alias("false_feedback"),
     )
+    order = Window.partitionBy("filepath").orderBy("place")
+    numbered = typed.withColumn("ordinal", F.row_number().over(order) - 1)
+    return numbered.select("filepath", "ordinal", *typed.columns[2:])
 
 
 def parse(files: DataFrame, path: str = "filepath", content: str = "content") -> DataFrame:

@@ -65,10 +65,11 @@ def doc_freq(clean: DataFrame) -> DataFrame:
 
 def weights(clean: DataFrame) -> DataFrame:
     """(class_id, word, tf, tfidf, df) of each distinct word of each class."""
-    groups = classes(clean)
-    words = tokens(F.col("clean"))
+    # The number of words is a column of its own, else it would be counted again for each exploded word.
+    words = classes(clean).select("class_id", tokens(F.col("clean")).alias("words"))
     long = (
-        groups.select("class_id", F.size(words).alias("n_tokens"), F.explode(words).alias("word"))
+        words.withColumn("n_tokens", F.size("words"))
+        .select("class_id", "n_tokens", F.explode("words").alias("word"))
         .groupBy("class_id", "n_tokens", "word")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )

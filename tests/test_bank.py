@@ -152,7 +152,7 @@ def test_files_report_and_stream(spark, tmp_path):
     assert counters["totalQuestions"] == 3 and counters["byType"] == {"Short": 2, "Description": 1}
     assert counters["filesByDepth"] == {"0": 1, "1": 2}
     found_rows = [(r.section, json.loads(r.json)) for r in report.findings(made).collect()]
-    assert sorted(s for s, _ in found_rows) == ["descriptions", "parseErrors"]  # copies are one class, so no pair
+    assert sorted(s for s, _ in found_rows) == ["descriptions", "duplicates", "parseErrors"]
     assert stats.category_files(questions).count() == 1
     out = tmp_path / "out"
     ingest.parse_new_files(spark, str(bank), str(out), str(tmp_path / "cp")).awaitTermination()
