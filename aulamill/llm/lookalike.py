@@ -14,7 +14,8 @@ their place, case and accents count, and each space stays one space.
 Defined cases: null and empty texts have no skeleton and look like no other; a
 text of characters without ink only has the empty skeleton and looks like
 others of that kind; equal texts in several rows are no pair, but each of their
-rows pairs with each row of a different writing; other columns are not read.
+rows pairs with each row of a different writing; rows without an id take no
+part in pairs; other columns are not read.
 """
 
 from __future__ import annotations
@@ -72,26 +73,28 @@ def prototypes() -> dict[int, str]:
     return table
 
 
-def skeleton(text: str) -> str:
+def skeleton(text: str, table: dict[int, str] | None = None) -> str:
     """The form in which texts that look the same are equal."""
     if text.isascii():
         return text
-    plain = unicodedata.normalize("NFD", text).translate(prototypes())
+    plain = unicodedata.normalize("NFD", text).translate(prototypes() if table is None else table)
     return unicodedata.normalize("NFD", plain)
 
 
-def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        forms = pa.array((skeleton(t) for t in batch.column("text").to_pylist()), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("writing"), forms], ["writing", "skeleton"])
-
-
 def consistent(texts: DataFrame) -> DataFrame:
     """(writing, skeleton) of every distinct non-empty text; ``writing`` is its digest."""
+    table = texts.sparkSession.sparkContext.broadcast(prototypes())  # its size depends on Unicode only
+
+    def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table.value
+        for batch in batches:
+            forms = pa.array((skeleton(t, known) for t in batch.column("text").to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("writing"), forms], ["writing", "skeleton"])
+
     distinct = (
         texts.where(F.length("text") > 0).groupBy("text").agg(F.lit(1)).select(digest("text").alias("writing"), "text")
     )
-    return distinct.mapInArrow(_skeletons, "writing binary, skeleton string")
+    return distinct.mapInArrow(skeletons, "writing binary, skeleton string")
 
 
 def lookalike_pairs(texts: DataFrame, block: int = 1000) -> DataFrame:
@@ -103,7 +106,9 @@ def lookalike_pairs(texts: DataFrame, block: int = 1000) -> DataFrame:
     work; ids are paired only as the result requires them.
     """
     ids = stored(
-        texts.where(F.length("text") > 0).select(F.col("text_id").alias("id"), digest("text").alias("writing")),
+        texts.where((F.length("text") > 0) & F.col("text_id").isNotNull()).select(
+            F.col("text_id").alias("id"), digest("text").alias("writing")
+        ),
         "writing-ids",
     )
     forms = consistent(texts).select("writing", digest("skeleton").alias("look"))

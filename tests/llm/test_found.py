@@ -195,7 +195,7 @@ def test_sketches_never_hide_a_pair():
     ("one", "two", "same"),
     [
         ("Ｗｈｉｃｈ", "Which", True),
-        ("сору", "copy", False),  # у is no listed letter here: the pair differs in it
+        ("сору", "copy", True),
         ("сора", "copa", True),
         ("é", "é", True),
         ("e", "é", False),
@@ -218,8 +218,6 @@ def test_sketches_never_hide_a_pair():
     ],
 )
 def test_skeletons(one, two, same):
-    if one == "сору":
-        one = "сорд"
     assert (lookalike.skeleton(one) == lookalike.skeleton(two)) is same
     assert lookalike.skeleton(lookalike.skeleton(one)) == lookalike.skeleton(one)
 
@@ -234,7 +232,7 @@ def test_pairs_equal_brute_force(spark):
     rng = random.Random(5)
     pool = ["Si", "Ѕi", "S​i", "si", "", None, "ｓi", "no", "nо", "z" * 3000, "z" * 2999 + "ｚ"]
     rows = [(i, rng.choice(pool), "x") for i in range(300)]
-    table = spark.createDataFrame(rows, "text_id long, text string, look string")
+    table = spark.createDataFrame([*rows, (None, "Si", "x")], "text_id long, text string, look string")
     want = {
         (a, b)
         for a, s, _ in rows
