@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aulamill.operators.work import digest, stored
+from aulamill.operators.work import digest, join_skewed, stored
 
 # Letters of other alphabets drawn like a Latin letter, and the letter.
 CYRILLIC = ("АВЕЅІЈКМНОРСТХҮԌԚԜаеорсухѕіјһԁԛԝѵ", "ABESIJKMHOPCTXYGQWaeopcyxsijhdqwv")
@@ -114,13 +114,12 @@ def lookalike_pairs(texts: DataFrame, block: int = 1000) -> DataFrame:
     forms = consistent(texts).select("writing", digest("skeleton").alias("look"))
     several = forms.groupBy("look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("look")
     forms = stored(forms.join(several, "look"), "looks")
-    sizes = ids.groupBy("writing").agg(F.count(F.lit(1)).alias("n_ids")).join(forms.select("writing"), "writing")
-    large = sizes.where(F.col("n_ids") > block)  # at most (rows / block) writings
-    keyed = ids.join(large, "writing", "left") if large.head(1) else ids.withColumn("n_ids", F.lit(1))
+    sizes = ids.groupBy("writing").agg(F.count(F.lit(1)).alias("n")).join(forms.select("writing"), "writing")
+    sizes = stored(sizes.withColumn("n_ids", F.col("n")), "look-sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     blocks = (
-        keyed.withColumn(
-            "slot", F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("n_ids", F.lit(1)) / block).cast("long"))
-        )
+        join_skewed(ids, sizes, "writing", "n", total)
+        .withColumn("slot", F.pmod(F.xxhash64("id"), F.ceil(F.col("n_ids") / block).cast("long")))
         .groupBy("writing", "slot")
         .agg(F.collect_list("id").alias("ids"))
         .join(forms, "writing")
