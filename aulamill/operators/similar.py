@@ -4,8 +4,8 @@ Texts with equal clean text are one class; pairs are formed between classes, so
 copies never multiply, and membership is its own table. As cosine is at most 1,
 the score needs a Jaccard of at least (threshold - 0.4) / 0.6, and two such
 sets share a word of their rarest-first prefix, so only prefix words are
-joined. A 64-bit signature of each set and the place of the shared word drop
-most pairs within the join, before any text moves.
+joined. A signature of each set (a bit per word, of 512) and the place of the
+shared word drop most pairs within the join, before any text moves.
 For thresholds that leave no bound the prefix is the whole set.
 
 Defined cases: null texts are left out; texts without words are similar to
@@ -21,6 +21,8 @@ from aulamill.functions.text import clean_text, tokens
 from aulamill.operators.work import stored
 
 COSINE_SHARE = 0.4
+#: 64-bit numbers in a signature.
+SIGNS = [f"sign{i}" for i in range(8)]
 
 
 def cleaned(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -80,16 +82,20 @@ def weights(clean: DataFrame) -> DataFrame:
 
 
 def _vectors(clean: DataFrame) -> DataFrame:
-    """(class_id, n, norm, sign, words): words is rarest first as array<struct<df, word, v>>, bounded by one text."""
+    """(class_id, n, norm, signature, words): words is rarest first as array<struct<df, word, v>>, bounded by one text."""
     items = F.array_sort(F.collect_list(F.struct("df", "word", F.col("tfidf").alias("v"))))
     return (
         weights(clean)
+        .withColumn("h", F.xxhash64("word"))
         .groupBy("class_id")
         .agg(
             items.alias("words"),
             F.count(F.lit(1)).alias("n"),
             F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"),
-            F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(word), 64) as int))")).alias("sign"),
+            *(
+                F.bit_or(F.expr(f"if(pmod(h, {len(SIGNS)}) = {i}, shiftleft(1L, cast(shiftright(h, 8) & 63 as int)), 0L)")).alias(sign)
+                for i, sign in enumerate(SIGNS)
+            ),
         )
     )
 
@@ -105,13 +111,13 @@ def candidate_pairs(vectors: DataFrame, jaccard: float) -> DataFrame:
     prefix = vectors.select(
         F.col("class_id").alias("id"),
         "n",
-        "sign",
+        *SIGNS,
         F.posexplode(F.slice("words", F.lit(1), _prefix_length(F.col("n"), jaccard).cast("int"))).alias("pos", "w"),
-    ).select("id", "n", "sign", "pos", F.xxhash64("w.word").alias("word"))
-    a = prefix.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "n", "sign", "pos")], "word")
-    b = prefix.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "n", "sign", "pos")], "word")
+    ).select("id", "n", *SIGNS, "pos", F.xxhash64("w.word").alias("word"))
+    a = prefix.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "n", *SIGNS, "pos")], "word")
+    b = prefix.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "n", *SIGNS, "pos")], "word")
     # Bits that differ are words that differ: |A xor B| is at most (1-J)/(1+J) of |A|+|B|.
-    differ = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b")))
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNS), F.lit(0))
     most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - max(jaccard, 0)) / (1 + max(jaccard, 0))) + 1e-9
     # What is left behind the shared word bounds the overlap (positions count from the rarest).
     left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))

@@ -327,8 +327,7 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUESTION_WORDS = f"""
-    texts as ({FULL_TEXT}),
+WORD_VECTORS = f"""
     clean as (select question_id as id, {CLEAN.format("full_text")} as clean from texts),
     class as (select clean, min(id) as id, count(*) as m from clean group by clean),
     tok as (select id, m, unnest(list_filter(string_split(clean, ' '), lambda w: w <> '')) as word from class),
@@ -336,6 +335,8 @@ QUESTION_WORDS = f"""
     df as (select word, sum(m)::double as df from cnt group by word),
     vec as (select id, word, c::double / total::double * ln((select sum(m)::double from class) / (1.0 + df)) as v from cnt join df using (word)),
     norm as (select id, sqrt(sum(v * v)) as norm, count(*) as n from vec group by id)"""
+QUESTION_WORDS = f"texts as ({FULL_TEXT}), {WORD_VECTORS}"
+DOCUMENT_WORDS = f"texts as (select doc_id as question_id, text as full_text from documents where text is not null), {WORD_VECTORS}"
 PAIR_SQL = """
     dots as (select a.id as a, b.id as b, sum(a.v * b.v) as dot, count(*) as o from vec a join vec b on a.word = b.word and a.id < b.id group by 1, 2),
     scored as (select a, b, o::double / (x.n + y.n - o) as jaccard, case when x.norm = 0 or y.norm = 0 then 0.0 else dot / (x.norm * y.norm) end as cosine
@@ -352,6 +353,12 @@ def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("a", "b", *(F.round(c, 6).alias(c) for c in ("jaccard", "cosine", "similarity")))
 
 
+@query(f"with {DOCUMENT_WORDS}, {PAIR_SQL} select a, b, round(similarity, 6) as similarity from pairs")
+def similar_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Similar documents, between classes of equal clean text."""
+    return similar.similar_pairs(_clean_documents(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     f"with {QUESTION_WORDS} select c.id, k.id as class_id, k.m as n_members from clean c join class k using (clean)"
 )
