@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aulamill.operators import similar, stats
+from aulamill.operators.work import join_skewed, stored
 
 WIDTH = 80
 # The sections' headings, in order.
@@ -55,9 +56,24 @@ class Bank:
         return similar.cleaned(full.withColumn("key", key), "key", "full_text")
 
     def pairs(self) -> DataFrame:
-        """(a, b, similarity): similar questions by (filepath#ordinal), classes of copies as one and their own pairs."""
+        """(a, b, similarity): similar questions by (filepath#ordinal), classes of copies as one; see ``copies``."""
         return similar.similar_pairs(self.texts(), self.threshold).select("a", "b", "similarity")
 
+    def copies(self) -> DataFrame:
+        """(class_id, n_members, similarity): classes of copies that are similar among themselves.
+
+        Every class of copies in ``pairs`` is one of them: where copies score
+        only 0.6, no other text scores more with them.
+        """
+        scores = similar.class_scores(self.texts())
+        return stored(scores.where(F.col("similarity") >= self.threshold), "copies")
+
+    def members(self, copies: DataFrame) -> DataFrame:
+        """(class_id, id, similarity): the questions of each class of ``copies``, the first one too."""
+        rows = similar.membership(self.texts()).where("n_members > 1").select("class_id", "id")
+        total = copies.agg(F.coalesce(F.sum("n_members"), F.lit(0))).head()[0]
+        return join_skewed(rows, copies, "class_id", "n_members", total)
+
 
 def _section(number: int, lines: DataFrame) -> DataFrame:
     """Numbered lines of a section; ``lines`` has (order1, order2, line) and may be empty."""
@@ -70,6 +86,7 @@ def report_lines(bank: Bank) -> DataFrame:
     desc = lambda n: F.format_string("%012d", F.lit(10**11) - F.col(n))
     counts, quality = stats.file_counts(files), stats.content_quality(q)
     both = counts.crossJoin(F.broadcast(quality))  # one row each
+    copies = bank.copies()
 
     def stacked(rows: DataFrame, *lines) -> DataFrame:
         return rows.select(F.posexplode(F.array(*lines)).alias("order1", "line")).select(
@@ -128,6 +145,15 @@ def report_lines(bank: Bank) -> DataFrame:
             F.format_string("%.6f", F.lit(9.0) - F.col("similarity")).alias("order1"), F.concat_ws(" ", "a", "b").alias("order2"),
             F.format_string("Similitud = %.3f\n  A: %s\n  B: %s", "similarity", "a", "b").alias("line"),
         )),
+        # A class, its members (a tab sorts before the space of pairs) and its pairs.
+        _section(9, copies.select(
+            F.format_string("%.6f", F.lit(9.0) - F.col("similarity")).alias("order1"), F.col("class_id").alias("order2"),
+            F.format_string("Similitud = %.3f\n  %d copias de: %s", "similarity", "n_members", "class_id").alias("line"),
+        )),
+        _section(9, bank.members(copies).select(
+            F.format_string("%.6f", F.lit(9.0) - F.col("similarity")).alias("order1"), F.concat_ws("\t", "class_id", "id").alias("order2"),
+            F.concat(F.lit("    Copia: "), F.col("id")).alias("line"),
+        )),
         _section(10, stacked(
             both,
             F.when(F.col("without_tags") > 0, F.concat(F.lit("  • "), share("without_tags"), F.lit("% de preguntas sin tags"))),
@@ -200,20 +226,31 @@ def as_json(bank: Bank) -> DataFrame:
 
 
 def findings(bank: Bank) -> DataFrame:
-    """(section, json): each issue, parse error, description and pair of similar questions as JSON, one row each."""
+    """(section, json): each issue, parse error, description, pair of similar questions and class of copies as JSON, one row each.
+
+    A class of copies is a row of the duplicates, and each of its questions a
+    row of the membership; both name it by its first question.
+    """
     q = bank.questions
     key = F.concat_ws("#", "filepath", F.lpad(F.col("ordinal").cast("string"), 9, "0"))
     keyed = q.withColumn("key", key)
     pairs = similar.with_questions(bank.pairs(), keyed, "key")
-    side = lambda x: F.struct(*(F.col(f"{c}_{x}").alias(c) for c in ("filepath", "title", "type")))
+    side = lambda x: F.struct(*(F.col(f"{c}_{x}").alias(c) for c in ("filepath", "title", "type")), F.col(x).alias("key"))
+    copies = bank.copies()
+    own = F.struct("filepath", "title", "type", "key")
+    named = keyed.select("key", own.alias("question"))
+    first = copies.join(named.withColumnRenamed("key", "class_id"), "class_id")
+    members = bank.members(copies).withColumnRenamed("id", "key").join(named, "key")
     parts = {
         "issues": _issue_lines(bank).select(F.struct(F.trim("line").alias("issue")).alias("x")),
         "parseErrors": bank.files.where(~F.col("success")).select(F.struct("filepath", F.struct(F.col("error").alias("message")).alias("error")).alias("x")),
         "descriptions": stats.descriptions(q).select(F.struct("filepath", "title", "text").alias("x")),
         "duplicates": pairs.select(F.struct("similarity", side("a").alias("question1"), side("b").alias("question2")).alias("x")),
+        "membership": members.select(F.struct(F.col("class_id").alias("class"), "question").alias("x")),
     }
+    classes = first.select(F.struct("similarity", F.col("n_members").alias("copies"), F.col("question").alias("question1")).alias("x"))
     out = None
-    for name, rows in parts.items():
+    for name, rows in [*parts.items(), ("duplicates", classes)]:
         part = rows.select(F.lit(name).alias("section"), F.to_json("x").alias("json"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -161,3 +161,30 @@ def test_files_report_and_stream(spark, tmp_path):
     stored = spark.read.parquet(str(out))
     assert stored.count() == 5
     assert {r.type for r in stats.type_counts(stored).collect()} == {"Short", "Description"}
+
+
+def test_copies_in_report(spark):
+    """Exact copies are named once as a class, with all members, though no other question resembles them."""
+    same = "::Capital:: Which city is the capital of France {=Paris}"
+    near = "::Capital:: Which city is the capital of France today {=Paris}"
+    texts = [("a.gift", same), ("b.gift", "::Capital:: Which city is the capital of France? {=PARIS}"), ("c.gift", same)]
+    others = [("d.gift", "::X:: One word {=no}"), ("e.gift", "::Y:: Something else entirely {=yes}"), ("g.gift", "::Z:: Nothing of those {=so}")]
+    for extra, n_pairs in (([], 0), ([("f.gift", near)], 1)):
+        rows = [(p, True, None, c) for p, c in texts + others + extra]
+        found = spark.createDataFrame(rows, "filepath string, success boolean, error string, content string")
+        made = report.Bank(found, gift.parse(found), "", 0.7)
+        text = report.render(made)
+        section = text.split("🔄 PREGUNTAS DUPLICADAS O MUY SIMILARES")[1].split("💡")[0]
+        lines = [x.strip() for x in section.split("\n") if x.strip()][1:]
+        assert lines[0] == "Similitud = 1.000" and lines[1].startswith("3 copias de: a.gift#")
+        assert [x.split("#")[0] for x in lines[2:5]] == ["Copia: a.gift", "Copia: b.gift", "Copia: c.gift"]
+        assert section.count("  B: ") == n_pairs
+        json_rows = [(r.section, json.loads(r.json)) for r in report.findings(made).collect()]
+        duplicates = [x for s, x in json_rows if s == "duplicates"]
+        (group,) = [x for x in duplicates if "copies" in x]
+        assert len(duplicates) == n_pairs + 1
+        assert group["copies"] == 3 and group["similarity"] == 1 and group["question1"]["filepath"] == "a.gift"
+        assert all(x["question1"]["key"] == group["question1"]["key"] for x in duplicates)
+        members = [x for s, x in json_rows if s == "membership"]
+        assert {x["class"] for x in members} == {group["question1"]["key"]}
+        assert sorted(x["question"]["filepath"] for x in members) == ["a.gift", "b.gift", "c.gift"]
