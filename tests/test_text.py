@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from aulamill.functions import text as X
 from aulamill.operators import enrich
-from aulamill.plans import changes
+from aulamill.plans import catalog, changes
 
 
 @pytest.mark.parametrize(
@@ -16,6 +16,17 @@ def test_slugify(value, text, slug):
     assert value(X.slugify, text) == slug
 
 
+def test_slugs_of_all_titles(spark, tmp_path):
+    titles = {
+        1: "Acción y Función", 2: "Ejercicio 1152 – Traza de los permisos heredados", 3: "“Comillas” y ‘más’", 4: "Ｆｕｌｌ ｗｉｄｔｈ　１２",
+        5: "Æsir × straße", 6: "ﬁn de línea\n", 7: "数据 Q7", 8: "Привет", 9: "", 10: None, 11: "x²  -  y½",
+    }
+    spark.createDataFrame([*titles.items()], "question_id long, title string").write.parquet(str(tmp_path / "questions.parquet"))
+    want = {1: "accion_y_funcion", 2: "ejercicio_1152_traza_de_los_permisos_heredados", 3: "comillas_y_mas", 4: "full_width_12"}
+    want |= {5: "sir_strae", 6: "fin_de_linea", 7: "q7", 8: "", 9: "", 11: "x2_y12"}
+    assert {r.question_id: r.slug for r in catalog.slugs(spark, str(tmp_path)).collect()} == want
+
+
 def test_sanitize(value):
     assert value(X.sanitize_filename, "  Año - nuevo: 1/2 ") == "año_nuevo_12"
     assert len(value(X.sanitize_filename, "x" * 500)) == 100
