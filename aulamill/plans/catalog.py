@@ -648,5 +648,5 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from k where failure is null"""
 )
 def p3_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The valid rows as typed columns."""
-    return rawcsv.valid_records(_raw(spark, d)).drop("parse_errors")
+    """The valid rows as the 8 typed columns of raw_column. The SQL leaves out the last one, parse_errors."""
+    return rawcsv.valid_records(_raw(spark, d))

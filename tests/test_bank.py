@@ -9,7 +9,7 @@ from itertools import combinations
 import pytest
 
 from aulamill.operators import gift, rawcsv, similar, stats, work
-from aulamill.plans import report
+from aulamill.plans import catalog, report
 from aulamill.sources import files as sources
 from aulamill.streaming import ingest
 
@@ -124,6 +124,17 @@ def test_raw_rows_edges(spark):
     assert row.failure is None and len(row.root_dir) == 300_000
 
 
+def test_typed_rows_keep_parse_errors(spark, tmp_path):
+    raw = [(1, b'1,d,2024-02-29 10:00:00,3,2,1,50.25,"a ""b"", c\nd"'), (2, GOOD.encode()), (3, b"1,d")]
+    spark.createDataFrame([(i, bytearray(x)) for i, x in raw], "line_id long, raw_line binary").write.parquet(str(tmp_path / "raw_stats.parquet"))
+    columns = [(i, *c) for i, c in enumerate(COLUMNS, 1)]
+    schema = "col_no int, col_label string, col_kind string, required boolean"
+    spark.createDataFrame(columns, schema).write.parquet(str(tmp_path / "raw_column.parquet"))
+    rows = catalog.p3_rows(spark, str(tmp_path))
+    assert rows.columns == ["line_id", *(c[0] for c in COLUMNS)]
+    assert {r.line_id: r.parse_errors for r in rows.collect()} == {1: 'a "b", c\nd', 2: ""}
+
+
 def test_join_on_hot_keys(spark):
     rows = spark.range(3_000_00).selectExpr("id", "case when id % 3 = 0 then 'hot' else concat('k', id % 1000) end as k")
     keyed = rows.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "upper(k) as v")
