@@ -359,6 +359,25 @@ def similar_documents(spark: SparkSession, d: str) -> DataFrame:
     return similar.similar_pairs(_clean_documents(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    f"with {DOCUMENT_WORDS} select c.id, k.id as class_id, k.m as n_members from clean c join class k using (clean)"
+)
+def similar_document_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with the class whose smallest id stands for it in ``similar_documents``."""
+    return similar.membership(_clean_documents(spark, d))
+
+
+@query(
+    f"""with {DOCUMENT_WORDS}, {PAIR_SQL}, both_ways as (select a as id, b as other from pairs union all select b, a from pairs),
+    outside as (select p.id, sum(k.m) as n from both_ways p join class k on k.id = p.other group by p.id)
+    select c.id, k.id as class_id, (coalesce(o.n, 0) + case when coalesce(x.norm, 0) > 0 then k.m - 1 else 0 end)::bigint as n_links
+    from clean c join class k using (clean) left join outside o on o.id = k.id left join norm x on x.id = k.id"""
+)
+def similar_document_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with its class and the number of documents it is similar to."""
+    return similar.links(_clean_documents(spark, d)).select("id", "class_id", "n_links")
+
+
 @query(
     f"with {QUESTION_WORDS} select c.id, k.id as class_id, k.m as n_members from clean c join class k using (clean)"
 )

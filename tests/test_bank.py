@@ -60,6 +60,16 @@ def test_similar_equals_all_pairs(spark, threshold):
     assert n_links == {k: sum(k in p for p in want) for k in clean}
 
 
+def test_membership_of_documents(spark, tmp_path):
+    spark.createDataFrame([*TEXTS.items(), (10, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    classes = {r.id: (r.class_id, r.n_members) for r in catalog.similar_document_classes(spark, str(tmp_path)).collect()}
+    assert classes == {k: (k, 1) for k in (1, 4, 5, 8, 9)} | {k: (2, 2) for k in (2, 3)} | {k: (6, 2) for k in (6, 7)}
+    links = {r.id: (r.class_id, r.n_links) for r in catalog.similar_document_links(spark, str(tmp_path)).collect()}
+    _, pairs = brute_similar(TEXTS, 0.85)
+    assert (2, 3) in pairs
+    assert links == {k: (classes[k][0], sum(k in p for p in pairs)) for k in TEXTS}
+
+
 def test_identical_pair_without_weight(spark):
     """Two of three texts are equal, so their words weigh nothing and they score 0.6."""
     rows = spark.createDataFrame([(1, "same text a"), (2, "same text a"), (3, "other words")], "id long, text string")
