@@ -452,8 +452,8 @@ def characters_to_wide(spark: SparkSession, d: str) -> DataFrame:
     select text_id, array_to_string(list_transform(range(1, len(o) + 1), lambda i: o[i] || coalesce({_chain_sql("m[i]", WIDE)}, '')), '') as mapped from t"""
 )
 def code_spans_to_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Characters inside code spans as full-width ones (texts without fences, where SQL can follow)."""
-    rows = read_table(spark, d, "formatted_text").where("text is not null and not contains(text, '```')")
+    """Characters inside code spans and fences as full-width ones. The SQL follows only on texts without fences."""
+    rows = read_table(spark, d, "formatted_text").where("text is not null")
     return rows.select("text_id", X.map_code(F.col("text"), False).alias("mapped"))
 
 
@@ -469,7 +469,8 @@ def code_indents(spark: SparkSession, d: str) -> DataFrame:
       and not regexp_matches(b, '(?s)^<text[^>]*>{S}*<!\[CDATA\['))) as n_missing from t"""
 )
 def cdata_missing(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null").where(~F.col("text").rlike(r"<text[^>]*/>"))
+    """Text blocks without CDATA. The SQL follows only on XML without an empty <text/>."""
+    rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
     return rows.select("doc_id", X.count_missing_cdata(F.col("text")).cast("long").alias("n_missing"))
 
 

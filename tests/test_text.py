@@ -27,6 +27,16 @@ def test_slugs_of_all_titles(spark, tmp_path):
     assert {r.question_id: r.slug for r in catalog.slugs(spark, str(tmp_path)).collect()} == want
 
 
+def test_fences_and_empty_blocks_stay_in(spark, tmp_path):
+    spans = [(1, "`a=b`"), (2, "```c\na=b\n```"), (3, None)]
+    spark.createDataFrame(spans, "text_id long, text string").write.parquet(str(tmp_path / "formatted_text.parquet"))
+    xml = [(1, "xml", "<text>a</text>"), (2, "xml", "<text/><x>k</x><text>c</text>"), (3, "xml", None), (4, "gift", "<text>a</text>")]
+    spark.createDataFrame(xml, "doc_id long, fmt string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    mapped = {r.text_id: r.mapped for r in catalog.code_spans_to_wide(spark, str(tmp_path)).collect()}
+    assert mapped == {1: "`a＝b`", 2: "```c\na＝b\n\n```"}
+    assert {r.doc_id: r.n_missing for r in catalog.cdata_missing(spark, str(tmp_path)).collect()} == {1: 1, 2: 1}
+
+
 def test_sanitize(value):
     assert value(X.sanitize_filename, "  Año - nuevo: 1/2 ") == "año_nuevo_12"
     assert len(value(X.sanitize_filename, "x" * 500)) == 100
