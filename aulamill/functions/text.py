@@ -1,4 +1,5 @@
-"""Text functions as column expressions. All stay in the JVM but ``slugify``, which needs NFKD.
+"""Text functions as column expressions. All stay in the JVM but NFKD slugs of
+texts beyond ASCII and the titles of XML, which need a parser that survives broken documents.
 
 White space and word characters are the Unicode ones; patterns name them in
 full because Java's short classes are ASCII. Each function maps null to null.
@@ -9,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,8 +42,13 @@ def newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+#: The characters of SPACE.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(r"[\t-\r\x1c-\x20\x85]", c) or unicodedata.category(c)[0] == "Z")
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Without white space at both ends; in time linear in the text, which a pattern for its end would not be."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def has_text(text: Column) -> Column:
@@ -228,19 +235,30 @@ def count_missing_cdata(xml: Column, safe: bool = True) -> Column:
     return F.size(F.filter(F.regexp_extract_all(xml, F.lit(_blocks(safe)), F.lit(0)), _needs_cdata))
 
 
-def remove_tags(xml: Column) -> Column:
-    """Drop the first tags section of each question."""
+#: CDATA sections and comments, whose content is no markup.
+OPAQUE = r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->"
+QUESTION = rf"(?s)<question(?:{SPACE}[^>]*)?>.*?</question>"
+TAG_SECTION = rf"(?s)<tags(?:{SPACE}[^>]*?)?(?:/>|>.*?</tags{SPACE}*>)"
+
+
+def _markup(xml: Column) -> Column:
+    r"""The text with \x01, which XML can't hold, for each < that opens nothing."""
     return map_segments(
-        xml,
-        r"(?s)<question[ >].*?</question>",
-        lambda q: F.regexp_replace(q, r"(?s)^(.*?)<tags>.*?</tags>", "$1"),
+        xml, OPAQUE, lambda m: F.concat(F.lit("<"), F.replace(F.substr(m, F.lit(2)), F.lit("<"), F.lit("\x01")))
     )
 
 
+def remove_tags(xml: Column) -> Column:
+    """Drop the first tags section of each question, in any of its forms; what CDATA or comments hold is no section."""
+    cut = map_segments(_markup(xml), QUESTION, lambda q: F.concat(
+        F.split(q, TAG_SECTION, 2)[0], F.coalesce(F.try_element_at(F.split(q, TAG_SECTION, 2), F.lit(2)), F.lit(""))
+    ))
+    return F.replace(cut, F.lit("\x01"), F.lit("<"))
+
+
 def count_tags(xml: Column) -> Column:
     """Number of questions with a tags section."""
-    questions = F.regexp_extract_all(xml, F.lit(r"(?s)<question[ >].*?</question>"), F.lit(0))
-    return F.size(F.filter(questions, lambda q: q.contains("<tags>")))
+    return F.size(F.filter(F.regexp_extract_all(_markup(xml), F.lit(QUESTION), F.lit(0)), lambda q: q.rlike(TAG_SECTION)))
 
 
 # ---- names and titles -----------------------------------------------------
@@ -252,9 +270,26 @@ def _slug(text: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def slugify(texts: pd.Series) -> pd.Series:
-    """Lower-case ASCII slug with underscores; accents fall away."""
-    return texts.map(_slug, na_action="ignore")
+def _slugs(texts: pd.Series) -> pd.Series:
+    return texts.map(_slug, na_action="ignore").astype(object)
+
+
+def _latin() -> tuple[str, str]:
+    """Latin-1 letters that are an ASCII letter with an accent, and that letter."""
+    both = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x100)]
+    both = [(c, base) for c, base in both if base != c]
+    return "".join(c for c, _ in both), "".join(base for _, base in both)
+
+
+def slugify(text: Column | str) -> Column:
+    """Lower-case ASCII slug with underscores; accents fall away. Only texts beyond Latin-1 letters go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    accented, bare = _latin()
+    plain = F.translate(text, accented, bare)
+    kept = strip(F.regexp_replace(plain, r"[^A-Za-z0-9_\t-\r\x1c-\x20-]", ""))
+    simple = F.lower(F.regexp_replace(kept, r"[-\t-\r\x1c-\x20]+", "_"))
+    ascii_only = ~plain.rlike(r"[^\x00-\x7f]")
+    return F.when(ascii_only, simple).otherwise(_slugs(F.when(~ascii_only, text)))
 
 
 def sanitize_filename(text: Column, max_length: int = 100) -> Column:
@@ -274,11 +309,21 @@ def gift_title(text: Column) -> Column:
     return F.when(text.rlike(r"(?s)^::.*?::"), strip(found))
 
 
-def xml_title(xml: Column) -> Column:
-    """Name of the first question; null where there is none."""
-    raw = F.regexp_extract(xml, rf"(?s)<question[ >].*?<name>{SPACE}*<text[^>]*>(.*?)</text>", 1)
-    body = strip(F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))
-    return F.when(body != "", body)
+def _xml_title(xml: str) -> str | None:
+    try:
+        found = ElementTree.fromstring(xml.lstrip("\ufeff")).find(".//question/name/text")
+    except (ElementTree.ParseError, ValueError):
+        return None
+    return (found.text or "").strip() or None if found is not None else None
+
+
+@F.pandas_udf(T.StringType())
+def xml_title(texts: pd.Series) -> pd.Series:
+    """Name of the first question that has one, entities resolved; null where there is none or the XML is broken.
+
+    In Python because the JVM's xpath functions end the job at a broken document.
+    """
+    return texts.map(_xml_title, na_action="ignore").astype(object)
 
 
 def question_title(path: Column, content: Column) -> Column:
@@ -313,7 +358,8 @@ def gift_blocks(content: Column) -> Column:
     return F.filter(F.transform(F.split(content, rf"\n{SPACE}*\n", -1), strip), lambda p: p != "")
 
 
-HEAD = rf"(?s)^((?:{SPACE}*(?://|\$)[^\n]*(?:\n|\z)|{SPACE}*\n)*)"
+#: Line ends as Python's splitlines knows them.
+LINE_END = r"\r\n|[\n\x0b-\r\x1c-\x1e\x85\u2028\u2029]"
 TITLED = r"(?s)^::(.*?)::"
 OPENED = r"(?s)^(.*?)(?<!\\)\{(.*)\z"
 CLOSED = r"(?s)^(.*)(?<!\\)\}(.*?)\z"
@@ -323,11 +369,22 @@ def _laid_out(blocks: Column, correct_first: bool) -> Column:
     """The blocks in the standard layout. Each transform is a step whose results the next one names."""
     filled = lambda a: F.filter(a, lambda s: s != "")
     stripped = lambda a: filled(F.transform(a, strip))
+    # Notes are the lines before the first that is neither blank nor a comment nor a command.
+    steps = F.transform(blocks, lambda b: F.split(b, LINE_END, -1))
     steps = F.transform(
-        blocks,
-        lambda b: F.struct(
-            stripped(F.split(F.regexp_extract(b, HEAD, 1), "\n")).alias("notes"),
-            strip(F.regexp_replace(b, HEAD, "")).alias("body"),
+        steps,
+        lambda lines: F.struct(
+            lines.alias("lines"),
+            F.array_position(F.transform(lines, lambda s: has_text(s) & ~s.rlike(rf"^{SPACE}*(?://|\$)")), True).cast("int").alias("at"),
+        ),
+    )
+    steps = F.transform(
+        steps,
+        lambda x: F.struct(
+            stripped(F.when(x["at"] > 0, F.slice(x["lines"], F.lit(1), x["at"] - 1)).otherwise(x["lines"])).alias("notes"),
+            strip(
+                F.when(x["at"] > 0, F.array_join(F.slice(x["lines"], x["at"], F.size(x["lines"])), "\n")).otherwise("")
+            ).alias("body"),
         ),
     )
     steps = F.transform(
@@ -358,7 +415,7 @@ def _laid_out(blocks: Column, correct_first: bool) -> Column:
             x["opened"].alias("opened"),
             x["stem"].alias("stem"),
             stripped(
-                F.split(F.when(x["after"].rlike(CLOSED), F.regexp_extract(x["after"], CLOSED, 1)).otherwise(x["after"]), "\n")
+                F.split(F.when(x["after"].rlike(CLOSED), F.regexp_extract(x["after"], CLOSED, 1)).otherwise(x["after"]), LINE_END)
             ).alias("lines"),
             strip(F.when(x["opened"], F.regexp_extract(x["after"], CLOSED, 2)).otherwise("")).alias("tail"),
         ),

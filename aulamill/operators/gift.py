@@ -27,7 +27,11 @@ ESCAPES = [
     ("\\\\", "\x00"), ("\\:", ":"), ("\\#", "#"), ("\\=", "="), ("\\{", "{"), ("\\}", "}"), ("\\~", "~"), ("\\n", "\n"), ("\x00", "\\"),
 ]
 
+# The forms of a weight, of a true/false answer with its feedback, of where that is parted, and of a pair.
 WEIGHT = r"%[+-]?\d+(?:\.\d+)?%"
+TRUE_FALSE = rf"(?is)^(TRUE|FALSE|T|F){SPACE}*(?:#(.*))?\z"
+FEEDBACK_SPLIT = r"(?<!#)#(?!###)"
+PAIR = rf"=([^->=~]*)->{SPACE}*([^=~\n\r]+)"
 
 
 def unescape(text: Column) -> Column:
@@ -43,9 +47,9 @@ def blocks(files: DataFrame, path: str = "filepath", content: str = "content") -
     own_line = F.regexp_replace(
         newlines(F.col(content)), rf"(?md)^({BLANK}*\$CATEGORY:[^\n]*)$", "\n\n$1\n\n"
     )
-    chunks = files.select(
-        F.col(path).alias("filepath"), F.posexplode(F.split(own_line, rf"\n(?:{BLANK}*\n)+", -1)).alias("pos", "chunk")
-    )
+    # No pattern here repeats a group: Java does that by recursion, which a long text would end with its stack.
+    emptied = F.regexp_replace(own_line, rf"(?md)^{BLANK}+$", "")
+    chunks = files.select(F.col(path).alias("filepath"), F.posexplode(F.split(emptied, r"\n{2,}", -1)).alias("pos", "chunk"))
     lines = F.filter(F.split("chunk", "\n", -1), has_text)
     chunks = chunks.select(
         "filepath",
@@ -58,9 +62,10 @@ def blocks(files: DataFrame, path: str = "filepath", content: str = "content") -
     is_category = (F.size("body") == 1) & F.try_element_at("body", F.lit(1)).rlike(rf"^{SPACE}*\$CATEGORY:")
     chunks = chunks.withColumn("category", F.coalesce(is_category, F.lit(False)))
     taker = (F.size("body") > 0) & ~F.col("category")
-    ahead = Window.partitionBy("filepath").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    # The next chunk with content takes the comments of those before it that have none.
-    goes_to = F.first(F.when(taker, F.col("pos")), ignorenulls=True).over(ahead)
+    # The next chunk with content takes the comments of those before it that have none. A frame that grows from
+    # the end costs one step a row; one that reaches to the end would be read anew for each.
+    ahead = Window.partitionBy("filepath").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    goes_to = F.last(F.when(taker, F.col("pos")), ignorenulls=True).over(ahead)
     chunks = chunks.withColumn("goes_to", F.when(F.col("category"), F.col("pos")).otherwise(goes_to))
     held = (
         chunks.where((F.size("body") > 0) | ((F.size("comments") > 0) & F.col("goes_to").isNotNull()))
@@ -127,13 +132,16 @@ def _choices(found: DataFrame) -> DataFrame:
 def parse_blocks(found: DataFrame) -> DataFrame:
     """Typed questions of ``blocks``."""
     text = F.col("text")
-    title_form = r"(?s)^::([^:]+(?::(?!:)[^:]*)*)::(.*)\z"
+    # A title goes from two colons, which no third follows, to the next two; single ones belong to it.
+    marked = text.startswith("::") & ~text.startswith(":::")
+    found = found.withColumn("title_end", F.when(marked, F.locate("::", text, 3)).otherwise(0))
+    end = F.col("title_end")
     found = found.withColumn(
         "title",
         F.when(F.col("category"), strip(F.substr(strip(text), F.lit(11)))).otherwise(
-            F.when(text.rlike(title_form), strip(F.regexp_extract(text, title_form, 1)))
+            F.when(end > 0, strip(F.substr(text, F.lit(3), end - 3)))
         ),
-    ).withColumn("rest", F.when(text.rlike(title_form), F.regexp_extract(text, title_form, 2)).otherwise(text))
+    ).withColumn("rest", F.when(end > 0, F.substr(text, end + 2)).otherwise(text))
     rest = F.col("rest")
     first = F.instr(rest, "{")
     last = F.length(rest) + 1 - F.instr(F.reverse(rest), "}")  # position of the last one
@@ -157,12 +165,11 @@ def parse_blocks(found: DataFrame) -> DataFrame:
         ),
     ).otherwise(formatted(rest))
     answers = F.col("answers")
-    tf_form = rf"(?is)^(TRUE|FALSE|T|F){SPACE}*(?:#(.*))?\z"
     kind = (
         F.when(F.col("category"), "Category")
         .when(~F.col("has_block"), "Description")
         .when(answers == "", "Essay")
-        .when(answers.rlike(tf_form), "TF")
+        .when(answers.rlike(TRUE_FALSE), "TF")
         .when(answers.startswith("#"), "Numerical")
         .when(answers.contains("->"), "Matching")
         .otherwise("choice")
@@ -185,15 +192,14 @@ def parse_blocks(found: DataFrame) -> DataFrame:
         }
     )
     tf_notes = F.filter(
-        F.split(F.regexp_extract(answers, tf_form, 2), r"(?<!#)#(?!###)", -1),
+        F.split(F.regexp_extract(answers, TRUE_FALSE, 2), FEEDBACK_SPLIT, -1),
         lambda p: has_text(p) & ~strip(p).startswith("###"),
     )
-    pair_form = rf"(?s)={SPACE}*([^->=~]*?){SPACE}*->{SPACE}*([^=~\n\r]+)"
     pairs = F.when(
         kind == "Matching",
         F.zip_with(
-            F.regexp_extract_all("cut", F.lit(pair_form), F.lit(1)),
-            F.regexp_extract_all("cut", F.lit(pair_form), F.lit(2)),
+            F.regexp_extract_all("cut", F.lit(PAIR), F.lit(1)),
+            F.regexp_extract_all("cut", F.lit(PAIR), F.lit(2)),
             lambda a, b: F.struct(formatted(a).alias("subquestion"), unescape(strip(b)).alias("subanswer")),
         ),
     )

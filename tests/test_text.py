@@ -160,3 +160,34 @@ def test_enrichment(spark):
 
     out = {r.new_path: r.new_content for r in enrich.outputs(enrich.enriched(src, service, size=2)).collect()}
     assert out == {"a_improve.gift": "a1\n\na2\n\na3\n", "b_improve.gift": "b1\n\nB2\n"}
+
+
+@pytest.mark.parametrize(
+    ("xml", "title"),
+    [
+        ("<quiz><question><name><text>Tom &amp; Jerry</text></name></question></quiz>", "Tom & Jerry"),
+        ('<?xml version="1.0" encoding="UTF-8"?><quiz><question type="category"/><question><name><text f="x"><![CDATA[A <b>]]></text></name></question></quiz>', "A <b>"),
+        ("<quiz><question><name><text>T</text></name></question></quiz> rest", None),
+        ("<quiz><question><name><text>T</text></name></quiz>", None),
+        ("<quiz><question><name><text/></name></question></quiz>", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_xml_title(value, xml, title):
+    assert value(X.xml_title, xml) == title
+
+
+@pytest.mark.parametrize(
+    ("xml", "left", "n"),
+    [
+        ("<question><tags/>a</question>", "<question>a</question>", 1),
+        ('<question f="1"><tags lang="x/y"><tag/></tags>a<tags>b</tags></question>', '<question f="1">a<tags>b</tags></question>', 1),
+        ("<question>a</question><question><tags a='b'/></question>", "<question>a</question><question></question>", 1),
+        ("<question><![CDATA[<tags>q</tags></question>]]><tags>z</tags></question>", "<question><![CDATA[<tags>q</tags></question>]]></question>", 1),
+        ("<questions><tags>a</tags></questions>", "<questions><tags>a</tags></questions>", 0),
+    ],
+)
+def test_tags_in_every_form(value, xml, left, n):
+    assert value(X.remove_tags, xml) == left
+    assert value(X.count_tags, xml) == n
