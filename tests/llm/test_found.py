@@ -140,7 +140,7 @@ def texts(rng, n, start, pool, base=()):
 
 
 @pytest.mark.parametrize(("vocabulary", "rare"), [(40, True), (40, False), (400, False), (3000, True)])
-def test_history_equals_brute_force(spark, monkeypatch, vocabulary, rare):
+def test_history_equals_brute_force(spark, monkeypatch, tmp_path, vocabulary, rare):
     """With few and many words, with and without rare ones; small limits exercise every way a pair can be met."""
     monkeypatch.setattr(history, "COMMON_LEAST", 5 if rare else 0)
     monkeypatch.setattr(history, "SLACK_SHARE", 0.7)
@@ -149,28 +149,87 @@ def test_history_equals_brute_force(spark, monkeypatch, vocabulary, rare):
     old = texts(rng, 150, 1, pool)
     base = [t.split() for _, t in old if t]
     batches = [texts(rng, 60, 1000 * b, pool, base) for b in (1, 2)]
-    known = history.History(spark.createDataFrame([r for r in old if r[1]], "id long, canon string"))
+    known = history.History.create(spark, str(tmp_path / "h"), as_sets(spark, old))
     got, sofar = {}, list(old)
     for batch in batches:
-        rows = spark.createDataFrame([r for r in batch if r[1]], "id long, canon string")
-        got |= {r.id: r.first_id for r in known.check(rows).collect()}
+        got |= {r.id: r.first_id for r in known.check(as_sets(spark, batch)).collect()}
     want = {}
     for batch in batches:
         want |= brute_first(sofar, batch)
         sofar += batch
     assert got == want
     assert len(want) > 20
+    known.close(delete=True)
+    assert not (tmp_path / "h").exists()
 
 
-def test_history_edges(spark):
+def as_sets(spark, rows):
+    data = [(i, t, None) for i, t in rows]
+    table = spark.createDataFrame(data, "k long, title string, stem struct<fmt:string,text:string>")
+    return history.normalised(table, "k")
+
+
+def test_history_outlives_its_session(spark, monkeypatch, tmp_path):
+    """State, new session, next batch; a batch that failed half way and one that is checked twice change nothing; refits keep results."""
+    rng = random.Random(9)
+    pool = [f"w{i}" for i in range(200)]
+    old = texts(rng, 40, 1, pool)
+    base = [t.split() for _, t in old if t]
+    batches = [texts(rng, 70, 1000 * b, pool, base) for b in (1, 2, 3, 4)]
+    path, got, want, sofar, fits = str(tmp_path / "h"), {}, {}, list(old), set()
+    history.History.create(spark, path, as_sets(spark, old)).close()
+    for number, batch in enumerate(batches):
+        known = history.History.open(spark, path)
+        if number == 2:
+            with monkeypatch.context() as broken:
+                broken.setattr(known, "_append_pieces", lambda *_: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    known.check(as_sets(spark, batch))
+            known.close()
+            known = history.History.open(spark, path)
+        for _ in range(2 if number == 1 else 1):
+            found = {r.id: r.first_id for r in known.check(as_sets(spark, batch)).collect()}
+        got |= found
+        fits.add(known.state["generation"])
+        known.close()
+        want |= brute_first(sofar, batch)
+        sofar += batch
+    assert got == want and len(fits) > 1
+
+
+def test_history_spreads_hot_pieces(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(history, "HOT_LEAST", 20)
+    monkeypatch.setattr(history, "COMMON_LEAST", 0)
+    rows = [(i, "a b c d e f g h i j k l " + f"m{i % 7} n{i % 11} o{i % 13}") for i in range(1, 600)]
+    new = [(1000 + i, "a b c d e f g h i j k l " + f"m{i} n{i} o{i}") for i in range(5)]
+    known = history.History.create(spark, str(tmp_path / "h"), as_sets(spark, rows))
+    assert known.state["hot"]
+    assert {r.id: r.first_id for r in known.check(as_sets(spark, new)).collect()} == brute_first(rows, new)
+    known.close()
+
+
+def test_sets_without_common_words_share_no_key():
+    """Texts that have two common words each, and a rare one, meet at no piece of theirs."""
+    import pyarrow as pa
+
+    words = pa.array([f"a b rare{i}" for i in range(1000)])
+    telling = np.zeros(history.SLOTS, np.float16)
+    _, hashes = history.word_sets(pa.array(["a b"]))
+    telling[history._slot(hashes)] = 1
+    *_, stored, looked = history.Sketcher(telling, 5.0).pieces(words, True, True)
+    assert np.unique(stored[1], return_counts=True)[1].max() == 1 and len(looked[1]) == 1000
+
+
+def test_history_edges(spark, tmp_path):
     none = spark.createDataFrame([], "id long, canon string")
-    known = history.History(none)
+    known = history.History.create(spark, str(tmp_path / "h"), none)
     assert known.check(none).count() == 0
     rows = [(10, "a b c"), (11, "a b c"), (12, " ".join(f"x{i}" for i in range(5000))), (13, "c b a"), (14, " ".join(f"x{i}" for i in range(5001)))]
-    assert {(r.first_id, r.id) for r in known.check(spark.createDataFrame(rows, "id long, canon string")).collect()} == {(10, 11), (10, 13), (12, 14)}
-    assert {(r.first_id, r.id) for r in known.check(spark.createDataFrame([(20, "a b c")], "id long, canon string")).collect()} == {(10, 20)}
-    source = spark.createDataFrame([(1, None, None), (2, "¿?", ("p", "")), (3, "T", ("p", None))], "k long, title string, stem struct<fmt:string,text:string>")
-    assert [(r.id, r.canon) for r in history.normalised(source, "k").collect()] == [(3, "t")]
+    assert {(r.first_id, r.id) for r in known.check(as_sets(spark, rows)).collect()} == {(10, 11), (10, 13), (12, 14)}
+    assert {(r.first_id, r.id) for r in known.check(as_sets(spark, [(20, "a b c")])).collect()} == {(10, 20)}
+    known.close()
+    source = spark.createDataFrame([(1, None, None), (2, "¿?", ("p", "")), (3, "T", ("p", None)), (4, "b a", ("p", "A b"))], "k long, title string, stem struct<fmt:string,text:string>")
+    assert [(r.id, r.canon) for r in history.normalised(source, "k").collect()] == [(3, "t"), (4, "a b")]
 
 
 def test_sketches_never_hide_a_pair():
