@@ -134,14 +134,19 @@ PAGES = [
     "::Título del tema::[html]<p>Su navegador no ejecuta scripts; la pregunta {} no se puede mostrar.</p>{{}}",
     "ERROR 503: EL SERVICIO NO ESTÁ DISPONIBLE. INTÉNTALO DE NUEVO DENTRO DE {} MINUTOS.",
 ]
+#: Templates of records, what fills their slot, and marks that were left in it.
+RECORDS = {
+    "Querido {}, tu entrega llega tarde": (["Ana", "Luis", "Marta"], ["{{nombre}}", "${nombre}", "%FIRST_NAME%", "[Your Name]", "<nombre del alumno>", "<your name>", "[nombre del alumno]"]),
+    "El filtro de los {} tardíos se vacía en el nodo": (["datos", "bloques", "avisos"], ["$tema$", "[[tema]]", "__TEMA__", "<<TEMA>>"]),
+    "La tabla guarda {} en el disco para la clase": (["el hilo", "la pila", "una cola"], ["[INSERTAR el título AQUÍ]", "XXXX opción B PENDIENTE XXXX", "(aquí va la imagen)", "TODO: redactar la explicación", "{{ user.name | default('x') }}", "<ESCRIBA enunciado>", "&lt;ESCRIBA enunciado&gt;"]),
+}
 CASES = [
-    "Course {{tema}}: <TYPE the picture>.", "el filtro de los $tema$ tardíos", "La tabla de los [[tema]] se borra", "guarda el __TEMA__ del disco",
-    "la <<TEMA>> del árbol", "TODO: redactar la explicación del tema", "la XXXX opción B PENDIENTE XXXX del disco", "[INSERTAR el título AQUÍ]", "una (aquí va la imagen) de la pila",
-    "Hola undefined, tu nota en null es NaN.", "Hola null, tu nota en undefined es null.", "asdf asdf qwer Texto de ejemplo. asdf asdf qwer ",
-    "Pregunta de prueba, borrar luego. Pregunta de prueba, borrar luego. ", "::Un título::Aquí irá el texto definitivo. {=dapib ~rebit}",
+    "Hola undefined, tu nota en null es NaN.", "Hola null, tu nota en undefined es null.", "Hola [object Object], bienvenido", "Hola [object Object], bienvenido",
+    "asdf asdf qwer Texto de ejemplo. asdf asdf qwer ", "test test test Test question, delete later. test test test ", "asdf" * 2500,  "asdf" * 2500 + " asdf asdf",
+    "Pregunta de prueba, borrar luego. Pregunta de prueba, borrar luego. ", "::Un título::Aquí irá el texto definitivo. {=dapib ~rebit}", "Aquí irá el texto definitivo.",
     "El curso trata la pila.\nLorem ipsum velunt quimdo sedis. Vitare rebit amet lorem dapib. Quorsa rebit velunt sedis.",
     "Velunt quimdo sedis rebit. Vitare amet dapib rebit lorem.", "Quorsa sedis velunt rebit dapib. Ipsum vitare rebit quimdo.",
-    "Dapib velunt quorsa vitare. Sedis amet quimdo.", "Rebit vitare dapib sedis quorsa velunt quimdo.",
+    *["Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt."] * 3, "Dapib velunt quorsa vitare. Sedis amet quimdo.", "Rebit vitare dapib sedis quorsa velunt quimdo.",
 ]
 CONTENT = [
     None, "", " \n\t", "Nota: es __importante__ repasar la pila del disco; `cout << x << endl;` muestra 57.", "Demuestra que $\\frac{6}{x}$ crece; usa $x$ como incógnita.",
@@ -155,17 +160,64 @@ CONTENT = [
 
 def test_residue(spark):
     pages = [p.format(f"{w}{'abcdef'[i]}") for i, p in enumerate(PAGES) for w in ("Lorensa", "Mitoro", "Vakelu", "Zumita")]
-    cases = pages + CASES
-    rows = [(i, t, "x") for i, t in enumerate(cases + CONTENT)]
+    cases = pages + CASES + [t.format(m) for t, (_, left) in RECORDS.items() for m in left]
+    filled = [t.format(w) for t, (words, _) in RECORDS.items() for w in words]
+    rows = [(i, t, "x") for i, t in enumerate([*cases, *CONTENT, *filled])]
     table = spark.createDataFrame(rows, "doc_id long, text string, reason string")
     found = {r.doc_id for r in residue.residue(table).collect()}
-    assert sorted(set(range(len(cases))) - found) == []
-    assert sorted(found - set(range(len(cases)))) == []
+    texts = [t for _, t, _ in rows]
+    assert [texts[i][:80] for i in sorted(set(range(len(cases))) - found)] == []
+    assert [texts[i][:80] for i in sorted(found - set(range(len(cases))))] == []
+
+
+@pytest.mark.parametrize(
+    ("text", "message"),
+    [
+        ("Just a moment... Checking your browser before accessing the site", True),
+        ("We can't find that page", True),
+        ("Bitte aktivieren Sie JavaScript in Ihrem Browser", True),
+        ("Veuillez activer JavaScript", True),
+        ("Serviço indisponível (504). Tente de novo em 367 minutos.", True),
+        ("What happens when JavaScript is turned off in the browser? Give reasons.", False),
+        ("La pregunta 439 trata de errores de sesión caducada.", False),
+        ("Propón cómo avisaría de que el servicio no está disponible.", False),
+    ],
+)
+def test_messages(text, message):
+    assert residue.is_message(text) is message
+
+
+def test_scan_is_linear():
+    """Texts made to backtrack end at once."""
+    import time
+
+    units = ["asdf", "page no ", "[insert ", "xxx ", "{{a ", "'a ", '"a', "a:: ", "::a", "{=a", "a ", "<a \"b", "{{x_y}} a ", "(poner "]
+    for text in [u * (2_000 if "x_y" in u else 100_000) for u in units] + ["asdf" * 2500 + ", hola"]:
+        began = time.time()
+        residue.scan(text)
+        assert time.time() - began < 10, text[:10]
+
+
+def test_alignment_finds_the_place():
+    """A mark's surroundings are among those of templates with up to two more elements in its place, and no others."""
+    place = lambda clause: residue.mark_keys(clause)[0][0]
+    keys = set(residue.split_keys("el * para la * de *").tolist())
+    assert place("el \x020\x03 para la copia de red") in keys
+    assert place("el curso \x020\x03 bueno para la copia de red") in keys
+    assert place("el curso para la copia \x020\x03 red") in keys
+    assert place("el curso por la copia \x020\x03 red") not in keys
+    assert place("el \x020\x03 de red") not in keys
+
+
+def test_speaking_about_templates_is_no_case(spark):
+    rows = [(i, f"The handlebars syntax {{{{title}}}} inserts a variable {i}.") for i in range(4)]
+    rows += [(10 + i, f"The course {w} uses a pointer {i}.") for i, w in enumerate(["A", "B", "C"])]
+    assert residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
 
 
 def test_residue_edges(spark):
     schema = "doc_id long, text string"
     assert residue.residue(spark.createDataFrame([], schema)).count() == 0
     long = "La pila del disco se actualiza cada 5 segundos. " * 20_000
-    rows = [(1, long), (1, long + "{{tema}}"), (2, None), (3, "{{tema}}")]
+    rows = [(1, long), (1, long + "La pila del {{tema}} se actualiza"), (2, None), (3, "La pila del {{tema}} se actualiza"), (4, ""), (5, long), (6, "La pila del nodo se actualiza"), (7, "La pila del disco se actualiza")]
     assert {r.doc_id for r in residue.residue(spark.createDataFrame(rows, schema)).collect()} == {1, 3}
