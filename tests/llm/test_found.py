@@ -59,14 +59,18 @@ def test_repeats_of_one_group(spark):
 
 
 def make_changes(spark, rows):
-    data = [(s, "tag", [{"term": t, "occurrences": n} for t, n in found] if found is not None else None) for s, found in rows]
-    return spark.createDataFrame(data, "sign int, term_kind string, terms array<struct<term:string,occurrences:long>>")
+    data = [(s, "tag", [{"term": t, "occurrences": n, "records": 1} for t, n in found] if found is not None else None) for s, found in rows]
+    return spark.createDataFrame(data, f"sign int, term_kind string, terms {terms.TERMS}")
 
 
-def test_deltas_equal_recount(spark):
+def test_deltas_equal_recount(spark, tmp_path, monkeypatch):
+    """Each step is a session of its own; a step that fails half way changes nothing; buckets split as the table grows."""
     rng = random.Random(2)
-    state, live = terms.TermCounts(spark), {}
+    monkeypatch.setattr(terms, "ROWS_PER_BUCKET", 4)
+    live, path = {}, str(tmp_path / "counts")
+    terms.TermCounts.create(spark, path, buckets=4)
     for step in range(4):
+        state = terms.TermCounts.open(spark, path)
         delta = []
         for key in rng.sample(sorted(live), len(live) // 3):
             delta.append((-1, live.pop(key)))
@@ -78,6 +82,12 @@ def test_deltas_equal_recount(spark):
             found = None if i == 0 else [(t, rng.randrange(1, 4)) for t in rng.sample([f"t{j}" for j in range(60)], 3)]
             live[step, i] = found
             delta.append((1, found))
+        if step == 2:
+            with monkeypatch.context() as broken:
+                broken.setattr(terms, "commit", lambda *_: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    state.apply(make_changes(spark, delta))
+            state = terms.TermCounts.open(spark, path)
         state.apply(make_changes(spark, delta))
         occurrences, records = {}, {}
         for found in live.values():
@@ -88,7 +98,7 @@ def test_deltas_equal_recount(spark):
         got = {r.term: (r.n_occurrences, r.n_records) for r in rows if r.term is not None}
         assert got == {t: (occurrences[t], records[t]) for t in records}
         assert [r.n_records for r in rows if r.term is None] == [len(live)]
-    assert len(state.manifest) <= terms.BUCKETS
+    assert state.state["buckets"] >= 16
 
 
 def test_terms_of_records(spark):
@@ -99,13 +109,13 @@ def test_terms_of_records(spark):
         "tags array<string>, by_category map<string,long>",
     )
     got = rows.select(terms.tag_terms(F.col("tags")).alias("t"), terms.map_terms(F.col("by_category")).alias("m")).collect()
-    assert {tuple(x) for x in got[0].t} == {("a", 2), ("B b", 1)}
-    assert {tuple(x) for x in got[0].m} == {("k", 2), ("", 1), ("z", 0)}
+    assert sorted(map(tuple, got[0].t)) == [("B b", 1, 1), ("a", 1, 0), ("a", 1, 1)]
+    assert {tuple(x) for x in got[0].m} == {("k", 2, 1), ("", 1, 1), ("z", 0, 1)}
     assert (got[1].t, got[1].m, got[2].t) == (None, None, [])
 
 
-def test_verdicts(spark):
-    state = terms.TermCounts(spark)
+def test_verdicts(spark, tmp_path):
+    state = terms.TermCounts.create(spark, str(tmp_path))
     assert terms.with_verdict(state.counts()).count() == 0
     state.apply(make_changes(spark, [(1, [("often", 1)] if i < 11 else [(f"r{i // 3}", 1)]) for i in range(100)]))
     marks = {r.term: r.verdict for r in terms.with_verdict(state.counts()).collect()}
@@ -298,8 +308,13 @@ def test_pairs_equal_brute_force(spark):
         for b, t, _ in rows
         if a < b and s and t and s != t and lookalike.skeleton(s) == lookalike.skeleton(t)
     }
-    for block in (7, 1000):
-        found = [(r.text_id_a, r.text_id_b) for r in lookalike.lookalike_pairs(table, block).collect()]
+    for block, side in ((7, 2), (1000, 16)):
+        found = [(r.text_id_a, r.text_id_b) for r in lookalike.lookalike_pairs(table, block, side).collect()]
         assert len(found) == len(set(found)) and set(found) == want
+    classes = {r.text_id: (r.class_id, r.n_links) for r in lookalike.lookalike_classes(table).collect()}
+    form = {i: lookalike.skeleton(s) for i, s, _ in rows if s}
+    assert classes == {i: (min(j for j in form if form[j] == form[i]), sum(i in p for p in want)) for i in form}
+    plain = {r.text_id: r.skeleton for r in lookalike.consistent(table).collect() if r.text_id is not None}
+    assert plain == {i: s and lookalike.skeleton(s) for i, s, _ in rows}
     none = spark.createDataFrame([], table.schema)
     assert lookalike.lookalike_pairs(none).count() == 0

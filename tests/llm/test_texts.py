@@ -116,6 +116,15 @@ def test_packing_is_whole_and_tight(spark, seed):
     assert sum(1 for r in rows) == whole + len(rest)
 
 
+def test_packing_is_checked(spark):
+    pieces = spark.createDataFrame([(0, 1, 0, 0, 6, 0), (0, 2, 0, 0, 5, 5), (1, 3, 0, 0, 4, 1), (2, 4, 0, 0, 2, 0)], "container_id long, doc_id long, piece long, start long, n long, position long")
+    sizes = spark.createDataFrame([(1, 6), (2, 5), (3, 5), (4, 2), (5, 1), (6, 0)], "doc_id long, n_tokens long")
+    row = packing.check_packing(pieces, sizes, capacity=8).head()
+    assert (row.n_overfull, row.n_with_holes, row.n_wrong_items, row.n_items, row.n_containers) == (1, 2, 2, 5, 3)
+    good = packing.check_packing(packing.packed(sizes, capacity=4), sizes, capacity=4).head()
+    assert (good.n_overfull, good.n_with_holes, good.n_wrong_items, good.n_items) == (0, 0, 0, 5)
+
+
 def test_packing_edges(spark):
     none = spark.createDataFrame([], "doc_id long, n_tokens long")
     assert packing.packed(none).count() == 0
