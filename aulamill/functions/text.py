@@ -145,6 +145,12 @@ def map_code_in_cdata(text: Column, to_plain: bool = True) -> Column:
     return map_segments(text, CDATA, change)
 
 
+def count_mapped_code_in_cdata(text: Column, to_plain: bool = True) -> Column:
+    """Number of code spans of CDATA sections whose characters the mapping changes."""
+    bodies = F.transform(F.regexp_extract_all(text, F.lit(CDATA), F.lit(0)), lambda m: count_mapped_code(m, to_plain))
+    return F.aggregate(bodies, F.lit(0), lambda n, x: n + x)
+
+
 # ---- code indentation -----------------------------------------------------
 
 

@@ -5,8 +5,14 @@ copies never multiply, and membership is its own table. As cosine is at most 1,
 the score needs a Jaccard of at least (threshold - 0.4) / 0.6, and two such
 sets share a word of their rarest-first prefix, so only prefix words are
 joined. A signature of each set (a bit per word, of 512) and the place of the
-shared word drop most pairs within the join, before any text moves.
-For thresholds that leave no bound the prefix is the whole set.
+shared word drop most pairs within the join, before any list of words moves.
+For thresholds that leave no bound the prefix is the whole set. A word that
+many prefixes share is split into groups of rows, and each pair of groups has a
+key of its own.
+
+``prepare`` reads the texts once; every function here takes its result or the
+texts themselves. A text or word that a third of all rows have is spread in
+each join.
 
 Defined cases: null texts are left out; texts without words are similar to
 nothing; ties keep both; fewer than two texts give no pair.
@@ -14,15 +20,23 @@ nothing; ties keep both; fewer than two texts give no pair.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aulamill.functions.text import clean_text, tokens
-from aulamill.operators.work import join_skewed, stored
+from aulamill.operators.work import digest, join_skewed, stored
 
 COSINE_SHARE = 0.4
 #: 64-bit numbers in a signature.
 SIGNS = [f"sign{i}" for i in range(8)]
+#: Rows of one prefix word that meet in a key.
+GROUP = 512
 
 
 def cleaned(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -30,18 +44,6 @@ def cleaned(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), clean_text(F.col(text)).alias("clean"))
 
 
-def classes(clean: DataFrame) -> DataFrame:
-    """(class_id, clean, n_members): one row per clean text; the smallest id names the class."""
-    return clean.groupBy("clean").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
-
-
-def membership(clean: DataFrame) -> DataFrame:
-    """(id, class_id, n_members). A text that a third of all rows have is no hot key of the join."""
-    groups = stored(classes(clean).withColumn("weight", F.col("n_members")), "classes")
-    total = groups.agg(F.coalesce(F.sum("weight"), F.lit(0))).head()[0]
-    return join_skewed(clean, groups, "clean", "weight", total).select("id", "class_id", "n_members")
-
-
 def token_counts(clean: DataFrame) -> DataFrame:
     """(id, n_tokens, n_words)."""
     words = tokens(F.col("clean"))
@@ -50,58 +52,123 @@ def token_counts(clean: DataFrame) -> DataFrame:
     )
 
 
-def doc_freq(clean: DataFrame) -> DataFrame:
-    """(word, df, idf): texts that hold the word; idf = ln(N / (1 + df)), not smoothed.
-
-    Counted over classes weighted by their members, which equals counting texts.
-    """
-    groups = classes(clean)
-    df = (
-        groups.select("n_members", F.explode(F.array_distinct(tokens(F.col("clean")))).alias("word"))
-        .groupBy("word")
-        .agg(F.sum("n_members").alias("df"))
+def _counted_words(words: Column) -> Column:
+    """array<struct<word, cnt>> of a list of words, by one sort and steps that are linear in it."""
+    ordered = F.sort_array(words)
+    before = F.concat(F.array(F.lit(None).cast("string")), ordered)
+    # One element more than words: the last marks the end.
+    starts = F.filter(
+        F.transform(
+            F.zip_with(ordered, before, lambda w, last: F.struct(w.alias("word"), (~w.eqNullSafe(last) | w.isNull()).alias("new"))),
+            lambda x, i: F.struct(x["word"].alias("word"), x["new"].alias("new"), i.alias("at")),
+        ),
+        lambda x: x["new"],
     )
-    total = groups.agg(F.sum("n_members").cast("double").alias("n_texts"))
-    return df.crossJoin(F.broadcast(total)).select(  # one row
-        "word", "df", F.log(F.col("n_texts") / (F.lit(1.0) + F.col("df"))).alias("idf")
+    return F.filter(
+        F.zip_with(
+            starts, F.slice(starts, F.lit(2), F.size(starts)), lambda x, y: F.struct(x["word"].alias("word"), (y["at"] - x["at"]).cast("long").alias("cnt"))
+        ),
+        lambda x: x["word"].isNotNull(),
     )
 
 
-def weights(clean: DataFrame) -> DataFrame:
-    """(class_id, word, tf, tfidf, df) of each distinct word of each class."""
-    # The number of words is a column of its own, else it would be counted again for each exploded word.
-    words = classes(clean).select("class_id", tokens(F.col("clean")).alias("words"))
-    long = (
-        words.withColumn("n_tokens", F.size("words"))
-        .select("class_id", "n_tokens", F.explode("words").alias("word"))
-        .groupBy("class_id", "n_tokens", "word")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    tf = F.col("cnt") / F.col("n_tokens")
-    return long.join(doc_freq(clean), "word").select(
-        "class_id", "word", tf.alias("tf"), (tf * F.col("idf")).alias("tfidf"), "df"
-    )
+@dataclass
+class Corpus:
+    """Texts brought to classes, word frequencies and vectors, each computed once and stored."""
 
+    clean: DataFrame  # id, clean
 
-def _vectors(clean: DataFrame) -> DataFrame:
-    """(class_id, n, norm, signature, words): words is rarest first as array<struct<df, word, v>>, bounded by one text."""
-    items = F.array_sort(F.collect_list(F.struct("df", "word", F.col("tfidf").alias("v"))))
-    return (
-        weights(clean)
-        .withColumn("h", F.xxhash64("word"))
-        .groupBy("class_id")
-        .agg(
-            items.alias("words"),
-            F.count(F.lit(1)).alias("n"),
-            F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"),
-            *(
-                F.bit_or(F.expr(f"if(pmod(h, {len(SIGNS)}) = {i}, shiftleft(1L, cast(shiftright(h, 8) & 63 as int)), 0L)")).alias(sign)
-                for i, sign in enumerate(SIGNS)
+    @cached_property
+    def _hashed(self) -> DataFrame:
+        """(id, hash, clean)."""
+        return stored(self.clean.select("id", digest("clean").alias("hash"), "clean"), "clean-texts")
+
+    @cached_property
+    def _groups(self) -> DataFrame:
+        """(hash, class_id, n_members, weight)."""
+        groups = self._hashed.groupBy("hash").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
+        return stored(groups.withColumn("weight", F.col("n_members")), "classes")
+
+    @cached_property
+    def n_texts(self) -> int:
+        return self._groups.agg(F.coalesce(F.sum("n_members"), F.lit(0))).head()[0]
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        """(class_id, n_members, n_tokens, counts): one row per clean text; counts is array<struct<word, cnt>>."""
+        first = self._groups.select(F.col("class_id").alias("id"), "n_members")
+        words = self._hashed.select("id", tokens(F.col("clean")).alias("words"))
+        return stored(
+            words.join(first, "id").select(F.col("id").alias("class_id"), "n_members", F.size("words").alias("n_tokens"), _counted_words(F.col("words")).alias("counts")),
+            "class-words",
+        )
+
+    @cached_property
+    def freq(self) -> DataFrame:
+        """(word, df, idf, n_classes)."""
+        words = self.classes.select("n_members", F.explode("counts").alias("c")).groupBy(F.col("c.word").alias("word"))
+        counts = words.agg(F.sum("n_members").alias("df"), F.count(F.lit(1)).alias("n_classes"))
+        idf = F.log(F.lit(float(self.n_texts)) / (F.lit(1.0) + F.col("df")))
+        return stored(counts.select("word", "df", idf.alias("idf"), "n_classes"), "word-frequencies")
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        """(class_id, word, tf, tfidf, df). A stop word is in nearly every text, so the join is split."""
+        long = self.classes.select("class_id", "n_tokens", F.explode("counts").alias("c")).select("class_id", "n_tokens", "c.word", "c.cnt")
+        total = self.freq.agg(F.coalesce(F.sum("n_classes"), F.lit(0))).head()[0]
+        tf = F.col("cnt") / F.col("n_tokens")
+        return join_skewed(long, self.freq, "word", "n_classes", total).select(
+            "class_id", "word", tf.alias("tf"), (tf * F.col("idf")).alias("tfidf"), "df"
+        )
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """(class_id, n, norm, signature, words): words is rarest first as array<struct<df, word, v>>, bounded by one text.
+
+        Words are 64-bit hashes here.
+        """
+        hashed = self.weights.select("class_id", F.xxhash64("word").alias("h"), "word", "tfidf", "df")
+        items = F.array_sort(F.collect_list(F.struct("df", F.col("h").alias("word"), F.col("tfidf").alias("v"))))
+        return stored(
+            hashed.groupBy("class_id").agg(
+                items.alias("words"),
+                F.count(F.lit(1)).alias("n"),
+                F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"),
+                *(
+                    F.bit_or(F.expr(f"if(pmod(h, {len(SIGNS)}) = {i}, shiftleft(1L, cast(shiftright(h, 8) & 63 as int)), 0L)")).alias(sign)
+                    for i, sign in enumerate(SIGNS)
+                ),
             ),
+            "vectors",
         )
+
+
+def prepare(clean: DataFrame | Corpus) -> Corpus:
+    """The texts ``(id, clean)`` ready for any number of the functions below."""
+    return clean if isinstance(clean, Corpus) else Corpus(clean)
+
+
+def membership(clean: DataFrame | Corpus) -> DataFrame:
+    """(id, class_id, n_members): the smallest id of a class names it."""
+    corpus = prepare(clean)
+    return join_skewed(corpus._hashed.select("id", "hash"), corpus._groups, "hash", "weight", corpus.n_texts).select(
+        "id", "class_id", "n_members"
     )
 
 
+def doc_freq(clean: DataFrame | Corpus) -> DataFrame:
+    """(word, df, idf): texts that hold the word; idf = ln(N / (1 + df)), not smoothed.
+
+    Counted over classes weighted by their members, which equals counting texts.
+    """
+    return prepare(clean).freq.select("word", "df", "idf")
+
+
+def weights(clean: DataFrame | Corpus) -> DataFrame:
+    """(class_id, word, tf, tfidf, df) of each distinct word of each class."""
+    return prepare(clean).weights
+
+
 def _prefix_length(n: Column, jaccard: float) -> Column:
     if jaccard <= 0:
         return n
@@ -115,105 +182,140 @@ def candidate_pairs(vectors: DataFrame, jaccard: float) -> DataFrame:
         "n",
         *SIGNS,
         F.posexplode(F.slice("words", F.lit(1), _prefix_length(F.col("n"), jaccard).cast("int"))).alias("pos", "w"),
-    ).select("id", "n", *SIGNS, "pos", F.xxhash64("w.word").alias("word"))
-    a = prefix.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "n", *SIGNS, "pos")], "word")
-    b = prefix.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "n", *SIGNS, "pos")], "word")
+    ).select("id", "n", *SIGNS, "pos", "w.word")
+    counts = stored(prefix.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).withColumn("weight", F.col("rows")), "prefix-words")
+    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).head()[0]
+    # Words of one prefix meet nothing. Rows of a word lie in groups, and a pair of groups is a key.
+    shared = join_skewed(prefix, counts.where("rows > 1"), "word", "weight", total)
+    groups = F.ceil(F.col("rows") / GROUP).cast("int")
+    shared = shared.withColumn("own", F.pmod(F.xxhash64("id"), groups).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), groups - 1))
+    )
+    keyed = shared.select("id", "n", *SIGNS, "pos", "word", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", *SIGNS, "pos")]
+    a = keyed.where("own = p").select(*side("a"), "word", "p", "q")
+    b = keyed.where("own = q").select(*side("b"), "word", "p", "q")
     # Bits that differ are words that differ: |A xor B| is at most (1-J)/(1+J) of |A|+|B|.
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNS), F.lit(0))
     most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - max(jaccard, 0)) / (1 + max(jaccard, 0))) + 1e-9
     # What is left behind the shared word bounds the overlap (positions count from the rarest).
     left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     needed = (F.col("n_a") + F.col("n_b")) * F.lit(max(jaccard, 0) / (1 + max(jaccard, 0))) - 1e-9
+    once = (F.col("id_a") < F.col("id_b")) | ((F.col("p") < F.col("q")) & (F.col("id_a") > F.col("id_b")))
     return (
-        a.join(b, "word")
-        .where((F.col("id_a") < F.col("id_b")) & (differ <= most) & (F.least("pos_a", "pos_b") + left >= needed))
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        a.join(b, ["word", "p", "q"])
+        .where(once & (differ <= most) & (F.least("pos_a", "pos_b") + left >= needed))
+        .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
         .distinct()
     )
 
 
-def similar_pairs(clean: DataFrame, threshold: float = 0.85) -> DataFrame:
+def _scored(pairs: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
+    """(a, b, jaccard, cosine) of pairs at or above the Jaccard ``floor``: both lists are merged, in time linear in their words."""
+    sides = {
+        x: vectors.select(
+            F.col("class_id").alias(x), F.col("norm").alias(f"norm_{x}"),
+            F.transform("words", lambda w: w["word"]).alias(f"words_{x}"), F.transform("words", lambda w: w["v"]).alias(f"values_{x}"),
+        )
+        for x in "ab"
+    }
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = {}
+            for x in "ab":
+                lists, values = batch.column(f"words_{x}"), batch.column(f"values_{x}")
+                sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                rows = np.repeat(np.arange(batch.num_rows), sizes)
+                flat[x] = rows, lists.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False), sizes
+            rows, words, values = (np.concatenate([flat["a"][i], flat["b"][i]]) for i in range(3))
+            order = np.lexsort((words, rows))
+            rows, words, values = rows[order], words[order], values[order]
+            both = np.flatnonzero((rows[1:] == rows[:-1]) & (words[1:] == words[:-1]))  # a list holds a word once
+            common = np.bincount(rows[both], minlength=batch.num_rows)
+            dot = np.bincount(rows[both], weights=values[both] * values[both + 1], minlength=batch.num_rows)
+            norms = batch.column("norm_a").to_numpy(zero_copy_only=False) * batch.column("norm_b").to_numpy(zero_copy_only=False)
+            jaccard = common / np.maximum(flat["a"][3] + flat["b"][3] - common, 1)
+            cosine = np.divide(dot, norms, out=np.zeros(len(dot)), where=norms != 0)
+            keep = pa.array(jaccard >= floor)
+            found = [batch.column("a"), batch.column("b"), pa.array(jaccard), pa.array(cosine)]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in found], ["a", "b", "jaccard", "cosine"])
+
+    return pairs.join(sides["a"], "a").join(sides["b"], "b").mapInArrow(merge, f"a {kind}, b {kind}, jaccard double, cosine double")
+
+
+def similar_pairs(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFrame:
     """(a, b, jaccard, cosine, similarity) of classes, a < b, with similarity at or above the threshold.
 
     Classes without words take no part. Members of one class are similar by
-    their own score (1, or 0.6 where all their words weigh 0); see
-    ``class_scores``.
+    their own score (1, or 0.6 where all their words weigh 0); see ``copies``.
     """
     floor = (threshold - COSINE_SHARE) / (1 - COSINE_SHARE)
-    vectors = stored(_vectors(clean), "vectors")
-    pairs = candidate_pairs(vectors, floor)
-    left = vectors.select(
-        F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.col("norm").alias("norm_a"), F.col("words").alias("w_a")
-    )
-    right = vectors.select(
-        F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("norm").alias("norm_b"), F.col("words").alias("w_b")
-    )
-    shared = F.size(
-        F.array_intersect(F.transform("w_a", lambda x: x["word"]), F.transform("w_b", lambda x: x["word"]))
-    )
-    jaccard = shared / (F.col("n_a") + F.col("n_b") - shared)
-    scored = pairs.join(left, "a").join(right, "b").withColumn("jaccard", jaccard).where(F.col("jaccard") >= F.lit(floor - 1e-9))
-    # Dot product over the common words: both lists hold a word once.
-    dot = F.aggregate(
-        F.filter("w_a", lambda x: F.exists("w_b", lambda y: y["word"] == x["word"])),
-        F.lit(0.0),
-        lambda s, x: s + x["v"] * F.filter("w_b", lambda y: y["word"] == x["word"])[0]["v"],
-    )
-    cosine = F.when((F.col("norm_a") == 0) | (F.col("norm_b") == 0), F.lit(0.0)).otherwise(
-        dot / (F.col("norm_a") * F.col("norm_b"))
-    )
+    vectors = prepare(clean).vectors
+    scored = _scored(candidate_pairs(vectors, floor), vectors, floor - 1e-9)
     return (
-        scored.withColumn("cosine", cosine)
-        .withColumn("similarity", F.col("cosine") * COSINE_SHARE + F.col("jaccard") * (1 - COSINE_SHARE))
+        scored.withColumn("similarity", F.col("cosine") * COSINE_SHARE + F.col("jaccard") * (1 - COSINE_SHARE))
         .where(F.col("similarity") >= threshold)
         .select("a", "b", "jaccard", "cosine", "similarity")
     )
 
 
-def class_scores(clean: DataFrame) -> DataFrame:
+def class_scores(clean: DataFrame | Corpus) -> DataFrame:
     """(class_id, n_members, similarity) of classes with several members: what two of its copies score."""
-    norm = weights(clean).groupBy("class_id").agg(F.sum(F.col("tfidf") * F.col("tfidf")).alias("square"))
+    corpus = prepare(clean)
     return (
-        classes(clean)
-        .where("n_members > 1")
-        .join(norm, "class_id", "left")
+        corpus._groups.where("n_members > 1")
+        .select("class_id", "n_members")
+        .join(corpus.vectors.select("class_id", "norm"), "class_id", "left")
         .select(
             "class_id",
             "n_members",
-            F.when(F.col("square").isNull(), 0.0)
-            .when(F.col("square") == 0, 1 - COSINE_SHARE)
+            F.when(F.col("norm").isNull(), 0.0)
+            .when(F.col("norm") == 0, 1 - COSINE_SHARE)
             .otherwise(1.0)
             .alias("similarity"),
         )
     )
 
 
-def links(clean: DataFrame, threshold: float = 0.85) -> DataFrame:
+def copies(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFrame:
+    """(class_id, id, n_members, similarity): each copy of a class but the first, where copies are similar among themselves."""
+    corpus = prepare(clean)
+    scores = stored(class_scores(corpus).where(F.col("similarity") >= threshold).withColumn("weight", F.col("n_members")), "copies")
+    total = scores.agg(F.coalesce(F.sum("weight"), F.lit(0))).head()[0]
+    rows = membership(corpus).where("n_members > 1 and id <> class_id").select("class_id", "id")
+    return join_skewed(rows, scores, "class_id", "weight", total).select("class_id", "id", "n_members", "similarity")
+
+
+def links(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFrame:
     """(id, class_id, n_links): for each text its class and the number of texts it is similar to."""
-    members = membership(clean)
-    pairs = similar_pairs(clean, threshold).select("a", "b")
-    sizes = members.select("class_id", "n_members").distinct()
+    corpus = prepare(clean)
+    pairs = stored(similar_pairs(corpus, threshold).select("a", "b"), "similar-pairs")
+    sizes = corpus._groups.select("class_id", "n_members")
     both = pairs.union(pairs.select("b", "a")).toDF("class_id", "other")
     outside = (
         both.join(sizes.select(F.col("class_id").alias("other"), "n_members"), "other")
         .groupBy("class_id")
         .agg(F.sum("n_members").alias("outside"))
     )
-    inside = class_scores(clean).where(F.col("similarity") >= threshold).select(
+    inside = class_scores(corpus).where(F.col("similarity") >= threshold).select(
         "class_id", (F.col("n_members") - 1).alias("inside")
     )
     per_class = sizes.join(outside, "class_id", "left").join(inside, "class_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    counted = per_class.select("class_id", (zero("outside") + zero("inside")).alias("n_links"))
-    return members.select("id", "class_id").join(counted, "class_id")
+    counted = stored(per_class.select("class_id", F.col("n_members").alias("weight"), (zero("outside") + zero("inside")).alias("n_links")), "links")
+    return join_skewed(membership(corpus).select("id", "class_id"), counted, "class_id", "weight", corpus.n_texts)
 
 
 def with_questions(pairs: DataFrame, questions: DataFrame, key: str = "question_id") -> DataFrame:
-    """Pairs (a, b, similarity) with the file, title and type of both questions."""
+    """Pairs (a, b, similarity) with the file, title and type of both questions. A question in very many pairs is no hot key."""
 
-    def side(name: str) -> DataFrame:
-        return questions.select(
-            F.col(key).alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("filepath", "title", "type"))
-        )
+    def join_side(rows: DataFrame, name: str) -> DataFrame:
+        side = questions.select(F.col(key).alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("filepath", "title", "type")))
+        counts = rows.groupBy(name).agg(F.count(F.lit(1)).alias("weight"))
+        named = stored(counts.join(side, name), f"side-{name}")
+        total = named.agg(F.coalesce(F.sum("weight"), F.lit(0))).head()[0]
+        return join_skewed(rows, named, name, "weight", total)
 
-    return pairs.join(side("a"), "a").join(side("b"), "b")
+    return join_side(join_side(stored(pairs, "pairs"), "a"), "b")

@@ -164,7 +164,7 @@ def full_texts(questions: DataFrame) -> DataFrame:
         F.lit(" "),
         F.array_join("answers", " "),
     )
-    keep = [c for c in ("question_id",) if c in questions.columns]
+    keep = [c for c in ("question_id", "key") if c in questions.columns]
     return answer_texts(_answered(questions)).select(*keep, "filepath", "ordinal", text.alias("full_text"))
 
 

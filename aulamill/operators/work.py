@@ -3,7 +3,7 @@
 Intermediate results that more than one later job reads are written as Parquet
 tables into the shared folder that ``spark.checkpoint.dir`` names, so a lost
 executor costs a re-read and never a recomputation of the whole lineage. Only
-where that setting is absent (tests, a laptop) a local folder is used.
+on a local master without that setting (tests, a laptop) a local folder is used.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot when it has at least 1/HOT_SHARE of all rows, so there are at
@@ -28,6 +28,8 @@ def work_root(spark: SparkSession) -> str:
     """The shared folder for working tables."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         root = _local.setdefault(app, tempfile.mkdtemp(prefix="aulamill-"))
     return root.rstrip("/")
@@ -91,3 +93,24 @@ def join_skewed(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total:
     return rows.join(F.broadcast(hot), key).unionByName(
         rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(plain, key)
     )
+
+
+def ranked(rows: DataFrame, group: list[str], order: str, name: str = "nth") -> DataFrame:
+    """Adds the place (from 0) of each row in its group, by the unique ``order``; a group of any size is spread over tasks.
+
+    Rows are range-sorted once; of each group one row per partition meets in a window.
+    """
+    ordered = stored(
+        rows.repartitionByRange(*group, order)
+        .sortWithinPartitions(*group, order)
+        .withColumn("part", F.spark_partition_id())
+        .withColumn("seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        "ranked",
+    )
+    spans = ordered.groupBy("part", *group).agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_here"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("before", F.coalesce(F.sum("n_here").over(earlier), F.lit(0)))
+    spans = spans.drop("n_here")
+    # Without a group this is one row per partition.
+    joined = ordered.join(spans if group else F.broadcast(spans), ["part", *group])
+    return joined.withColumn(name, F.col("before") + F.col("seq") - F.col("first_seq")).drop("part", "seq", "first_seq", "before")

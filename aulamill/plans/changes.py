@@ -2,12 +2,13 @@
 
 ``write_texts`` stores the new contents of a plan under another directory.
 Names that collide get a suffix by their order in path, so a plan is the same
-on every run.
+on every run, and no two rows of one have the same new path (but for the XML
+rename, which marks collisions instead).
 """
 
 from __future__ import annotations
 
-import os
+import posixpath
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aulamill.functions import text as X
+from aulamill.operators.work import ranked, stored
 
 FOLDER = r"^(.*/)?[^/]*$"
 STEM = r"([^/]*?)(?:\.[^./]*)?$"
@@ -42,31 +44,64 @@ def rewrite(files: DataFrame, change: Callable[[Column], Column], count: Callabl
     )
 
 
-def _numbered(named: DataFrame, wanted: str) -> DataFrame:
-    """new_path from folder, the wanted stem and extension; later files of a name get _1, _2, ...
+def _unique(rows: DataFrame, taken: DataFrame, start: int) -> DataFrame:
+    """Adds ``new_path``, which no two rows share and no path of ``taken(new_path)`` has.
 
-    A file that already has its name keeps it, so the number starts after it.
+    ``rows`` has folder, extension, first, later and a unique ``order``. The
+    name is ``first`` for the row of the lowest order; others get ``later`` with
+    a number, from ``start`` on, where 0 is no number. Numbers are given by
+    order, and rows whose name turns out to be taken, by a name of another
+    group, get higher ones in the next round; a round settles every name that
+    is free. No step sees a whole group in one task.
     """
-    target = F.concat("folder", F.col(wanted), "extension")
-    order = Window.partitionBy("folder", wanted, "extension").orderBy(
-        (F.col("filepath") != target), "filepath"
-    )
-    nth = F.row_number().over(order) - 1
-    suffix = F.when(nth > 0, F.concat(F.lit("_"), nth.cast("string"))).otherwise("")
-    return named.withColumn("new_path", F.concat("folder", F.col(wanted), suffix, "extension"))
+    named = rows.withColumn("new_path", F.concat("folder", "first", "extension"))
+    done, used = [], taken
+    while True:
+        named = stored(named, "wanted-names")
+        best = named.groupBy("new_path").agg(F.min("order").alias("order"))
+        won = stored(best.join(used, "new_path", "left_anti"), "won-names")
+        done.append(named.drop("new_path").join(won, "order"))
+        left = named.join(won.select("order"), "order", "left_anti").drop("new_path")
+        if not left.head(1):
+            break
+        used = stored(used.unionByName(won.select("new_path")), "used-names")
+        n = F.col("nth") + start
+        suffix = F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise("")
+        groups = ["folder", "later", "extension"]
+        placed = ranked(left, groups, "order")
+        named = placed.withColumn("new_path", F.concat("folder", "later", suffix, "extension")).drop("nth")
+        # What a group has tried it need not try again.
+        start += placed.agg(F.max("nth")).head()[0] + 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _renamed(named: DataFrame, files: DataFrame) -> DataFrame:
+    """(filepath, new_path, renamed) of files with folder, extension and the wanted name.
+
+    A file that has its name already keeps it; names of other files of the input are taken.
+    """
+    own = F.concat("folder", "wanted", "extension") == F.col("filepath")
+    keep = named.where(own).select("filepath", F.col("filepath").alias("new_path"))
+    rows = named.where(~own).select("filepath", "folder", "extension", F.col("wanted").alias("first"), F.col("wanted").alias("later"))
+    taken = files.select(F.col("filepath").alias("new_path")).distinct()
+    moved = _unique(rows.withColumn("order", F.col("filepath")), taken, 1).select("filepath", "new_path")
+    return keep.unionByName(moved).withColumn("renamed", F.col("filepath") != F.col("new_path"))
 
 
 def rename_to_slug(files: DataFrame) -> DataFrame:
     """(filepath, new_path, renamed)."""
     named = with_parts(files.select("filepath")).withColumn("wanted", X.slugify("stem"))
-    return _numbered(named, "wanted").select("filepath", "new_path", (F.col("filepath") != F.col("new_path")).alias("renamed"))
+    return _renamed(named, files)
 
 
 def rename_from_title(files: DataFrame) -> DataFrame:
     """(filepath, new_path, renamed) of files that have a title."""
     titled = files.select("filepath", X.question_title(F.col("filepath"), F.col("content")).alias("title"))
     named = with_parts(titled.where(F.length("title") > 0)).withColumn("wanted", X.slugify("title"))
-    return _numbered(named, "wanted").select("filepath", "new_path", (F.col("filepath") != F.col("new_path")).alias("renamed"))
+    return _renamed(named, files)
 
 
 def rename_xml(files: DataFrame) -> DataFrame:
@@ -91,36 +126,44 @@ def titles_from_names(files: DataFrame) -> DataFrame:
 def split_files(files: DataFrame) -> DataFrame:
     """(filepath, pos, new_path, new_content): one file per question of GIFT files with several.
 
-    The name is the sanitised title or the stem with the position; a name that
-    an earlier question of the folder has, or the file itself, gets the position.
+    The name is the sanitised title or the stem with the position; where an
+    earlier question of the folder or a file of the input has it, the position
+    is added, and then a number until it is free.
     """
     parts = with_parts(files.where(F.col("filepath").endswith(".gift"))).withColumn("blocks", X.gift_blocks(F.col("content")))
     rows = parts.where(F.size("blocks") > 1).select("filepath", "folder", "stem", F.posexplode("blocks").alias("pos", "block"))
     title = F.coalesce(X.gift_title(F.col("block")), F.lit(""))
     number = (F.col("pos") + 1).cast("string")
     base = F.when(title != "", X.sanitize_filename(title)).otherwise(F.concat_ws("_", "stem", number))
-    rows = rows.withColumn("base", base)
-    order = Window.partitionBy("folder", "base").orderBy("filepath", "pos")
-    taken = (F.row_number().over(order) > 1) | (F.concat("folder", "base", F.lit(".gift")) == F.col("filepath"))
-    name = F.when(taken, F.concat_ws("_", "base", number)).otherwise(F.col("base"))
-    return rows.select(
-        "filepath", "pos", F.concat("folder", name, F.lit(".gift")).alias("new_path"), F.concat("block", F.lit("\n")).alias("new_content")
-    )
+    rows = stored(
+        rows.select(
+            "filepath", "pos", "folder", F.lit(".gift").alias("extension"), base.alias("first"), F.concat_ws("_", base, number).alias("later"),
+            F.concat("filepath", F.lit("\x01"), F.lpad(F.col("pos").cast("string"), 10, "0")).alias("order"),
+            F.concat("block", F.lit("\n")).alias("new_content"),
+        ),
+        "parts-of-files",
+    )
+    taken = files.select(F.col("filepath").alias("new_path")).distinct()
+    names = _unique(rows.drop("new_content", "filepath", "pos"), taken, 0).select("order", "new_path")
+    return rows.join(names, "order").select("filepath", "pos", "new_path", "new_content")
 
 
 def write_texts(plan: DataFrame, directory: str, path: str = "new_path", content: str = "new_content") -> DataFrame:
     """Write a plan's files under ``directory``, from the executors; (path, written) of each.
 
-    ``directory`` must be a folder that all executors share.
+    ``directory`` is a path or URI (file, hdfs, s3 ...) of a folder that all executors share.
     """
 
     def write(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(directory) if "://" in directory else (fs.LocalFileSystem(), directory)
         for batch in batches:
             for name, body in zip(batch[path], batch[content], strict=True):
-                target = os.path.join(directory, name.lstrip("/"))
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "w", encoding="utf-8", newline="") as out:
-                    out.write(body)
+                target = posixpath.join(root, posixpath.normpath("/" + name).lstrip("/"))
+                system.create_dir(posixpath.dirname(target), recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(body.encode())
             yield pd.DataFrame({"path": batch[path], "written": True})
 
     return plan.select(path, content).where(F.col(content).isNotNull()).mapInPandas(write, "path string, written boolean")

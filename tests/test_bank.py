@@ -9,7 +9,7 @@ from itertools import combinations
 import pytest
 
 from aulamill.operators import gift, rawcsv, similar, stats, work
-from aulamill.plans import catalog, report
+from aulamill.plans import catalog, commands, report
 from aulamill.sources import files as sources
 from aulamill.streaming import ingest
 
@@ -169,11 +169,16 @@ def test_files_report_and_stream(spark, tmp_path):
     text = report.render(made)
     for part in ("Total de archivos GIFT: 3", "❌ Archivos inválidos: 1", "Short", "Nivel 1: 2 archivos", "c ", "just text"):
         assert part in text
-    counters = json.loads(report.as_json(made).head().stats)
+    document = json.loads(report.json_text(made))
+    counters = document["stats"]
     assert counters["totalQuestions"] == 3 and counters["byType"] == {"Short": 2, "Description": 1}
-    assert counters["filesByDepth"] == {"0": 1, "1": 2}
-    found_rows = [(r.section, json.loads(r.json)) for r in report.findings(made).collect()]
-    assert sorted(s for s, _ in found_rows) == ["descriptions", "duplicates", "parseErrors"]
+    assert counters["filesByDepth"] == {"0": 1, "1": 2} and counters["byTag"] == {"t": 1} and counters["byCategory"] == {"c": 1}
+    assert [e["filepath"][-6:] for e in counters["parseErrors"]] == ["b.gift"]
+    assert [len(document[k]) for k in ("issues", "duplicates", "descriptions")] == [1, 1, 1]
+    assert document["duplicates"][0]["question1"]["title"] == "Q1" and document["duplicates"][0]["question2"]["type"] == "Short"
+    report.write_lines(report.json_lines(made), str(tmp_path / "json"))
+    parts = sorted((tmp_path / "json").glob("part-*"))
+    assert json.loads("".join(p.read_text() for p in parts)) == document
     assert stats.category_files(questions).count() == 1
     out = tmp_path / "out"
     ingest.parse_new_files(spark, str(bank), str(out), str(tmp_path / "cp")).awaitTermination()
@@ -185,27 +190,74 @@ def test_files_report_and_stream(spark, tmp_path):
 
 
 def test_copies_in_report(spark):
-    """Exact copies are named once as a class, with all members, though no other question resembles them."""
+    """Each copy is named with the first of its class, though no other question resembles them; the total counts all pairs."""
     same = "::Capital:: Which city is the capital of France {=Paris}"
     near = "::Capital:: Which city is the capital of France today {=Paris}"
     texts = [("a.gift", same), ("b.gift", "::Capital:: Which city is the capital of France? {=PARIS}"), ("c.gift", same)]
     others = [("d.gift", "::X:: One word {=no}"), ("e.gift", "::Y:: Something else entirely {=yes}"), ("g.gift", "::Z:: Nothing of those {=so}")]
-    for extra, n_pairs in (([], 0), ([("f.gift", near)], 1)):
+    for extra, n_pairs, total in (([], 0, 3), ([("f.gift", near)], 1, 6)):
         rows = [(p, True, None, c) for p, c in texts + others + extra]
         found = spark.createDataFrame(rows, "filepath string, success boolean, error string, content string")
         made = report.Bank(found, gift.parse(found), "", 0.7)
         text = report.render(made)
         section = text.split("🔄 PREGUNTAS DUPLICADAS O MUY SIMILARES")[1].split("💡")[0]
-        lines = [x.strip() for x in section.split("\n") if x.strip()][1:]
-        assert lines[0] == "Similitud = 1.000" and lines[1].startswith("3 copias de: a.gift#")
-        assert [x.split("#")[0] for x in lines[2:5]] == ["Copia: a.gift", "Copia: b.gift", "Copia: c.gift"]
-        assert section.count("  B: ") == n_pairs
-        json_rows = [(r.section, json.loads(r.json)) for r in report.findings(made).collect()]
-        duplicates = [x for s, x in json_rows if s == "duplicates"]
-        (group,) = [x for x in duplicates if "copies" in x]
-        assert len(duplicates) == n_pairs + 1
-        assert group["copies"] == 3 and group["similarity"] == 1 and group["question1"]["filepath"] == "a.gift"
-        assert all(x["question1"]["key"] == group["question1"]["key"] for x in duplicates)
-        members = [x for s, x in json_rows if s == "membership"]
-        assert {x["class"] for x in members} == {group["question1"]["key"]}
-        assert sorted(x["question"]["filepath"] for x in members) == ["a.gift", "b.gift", "c.gift"]
+        assert f"Total de duplicados encontrados: {total}\nThreshold de similitud: 0.7\n\nDuplicado 1: Similitud = 1.000\n" in section
+        assert "  Pregunta A (Short): Capital\n    Archivo: a.gift\n  Pregunta B (Short): Capital\n    Archivo: b.gift\n  Comando: meld -n 'a.gift' 'b.gift'\n" in section
+        assert section.count("Duplicado ") == 2 + n_pairs
+        document = json.loads(report.json_text(made))
+        both = [(x["question1"]["filepath"], x["question2"]["filepath"]) for x in document["duplicates"]]
+        assert both[:2] == [("a.gift", "b.gift"), ("a.gift", "c.gift")] and len(both) == 2 + n_pairs
+
+
+def test_whole_report(spark):
+    """The report of a small bank, line by line."""
+    rows = [("d/a.gift", True, None, "::T:: Q one {=a}\n\n::T:: Q one {=a}"), ("d/s/b.gift", True, None, "{}\n\nplain\ntext"), ("d/x.gift", False, "gone", None), ("d/e.gift", True, None, "")]
+    files = spark.createDataFrame(rows, "filepath string, success boolean, error string, content string")
+    text = report.render(report.Bank(files, gift.parse(files.where("success")), "d", 0.5))
+    rule = "-" * 80
+    assert text.split("\n") == [
+        "=" * 80, "INFORME DE EVALUACIÓN DE PREGUNTAS GIFT", "=" * 80, "",
+        "📊 RESUMEN GENERAL", rule, "Total de archivos GIFT: 4", "  ✅ Archivos válidos: 3", "  ❌ Archivos inválidos: 1", "Total de preguntas: 4", "",
+        "📝 TIPOS DE PREGUNTAS", rule, "  Short               :     2 ( 50.0%)", "  Description         :     1 ( 25.0%)", "  Essay               :     1 ( 25.0%)", "",
+        "📂 CATEGORÍAS", rule, "  No se encontraron categorías", "",
+        "🏷️  TAGS MÁS COMUNES", rule, "  No se encontraron tags", "",
+        "✨ CALIDAD DE CONTENIDO", rule, "Preguntas con tags: 0", "Preguntas sin tags: 3", "Preguntas con feedback global: 0", "Preguntas sin feedback global: 3", "Preguntas vacías: 1", "",
+        "📁 DISTRIBUCIÓN POR PROFUNDIDAD DE DIRECTORIOS", rule, "  Nivel 0: 3 archivos", "  Nivel 1: 1 archivos", "",
+        "⚠️  PROBLEMAS DETECTADOS", rule, "Total de problemas: 3", "", "  ⚠️  d/e.gift: No contiene preguntas", "  ⚠️  d/s/b.gift: Pregunta sin título ni texto", "  ❌ d/x.gift: Error de parseo - gone", "",
+        "❌ ERRORES DE PARSEO GIFT", rule, "  d/x.gift", "    Error: gone", "",
+        "📄 PREGUNTAS TIPO DESCRIPTION (posibles problemas)", rule, "Total: 1", "Nota: Las preguntas tipo 'Description' no tienen respuestas.",
+        "      Esto puede indicar un error en el formato de la pregunta.", "", "  📄 d/s/b.gift", "     Título: <sin título>", "     Texto: plain text...", "",
+        "🔄 PREGUNTAS DUPLICADAS O MUY SIMILARES", rule, "Total de duplicados encontrados: 1", "Threshold de similitud: 0.5", "",
+        "Duplicado 1: Similitud = 0.600", "  Pregunta A (Short): T", "    Archivo: d/a.gift", "  Pregunta B (Short): T", "    Archivo: d/a.gift", "  Comando: meld -n 'd/a.gift' 'd/a.gift'", "",
+        "💡 RECOMENDACIONES", rule, "  • 75.0% de preguntas sin tags - considera añadir tags para mejor organización",
+        "  • 75.0% de preguntas sin feedback global - el feedback ayuda al aprendizaje", "  • 1 preguntas vacías detectadas - requieren revisión",
+        "  • 1 archivos con errores - necesitan corrección", "  • 1 preguntas duplicadas detectadas - considera revisar para eliminar redundancias", "", "=" * 80,
+    ]
+    with pytest.raises(ValueError):
+        report.Bank(files, files, "", 1.5)
+
+
+def test_commands(spark, tmp_path):
+    """Each task from files on."""
+    (tmp_path / "s").mkdir()
+    (tmp_path / "A b.gift").write_text("::Tí T:: Q {=a ~b}\n\n::Tí T:: Q `x==1` {=a ~b}", encoding="utf-8")
+    (tmp_path / "s" / "q.xml").write_text("<quiz><question><name><text>N &amp; M</text></name><questiontext><text><![CDATA[<b>x</b> `a==b`]]></text></questiontext><tags/></question></quiz>")
+    (tmp_path / "n.md").write_text("`a==b` and\n```\n    c\n```\n")
+    path = str(tmp_path)
+    checked = {r.filepath.rsplit("/", 1)[1]: (r.success, r.n_questions) for r in commands.validate(spark, [path, f"{path}/none.gift"]).collect()}
+    assert checked == {"A b.gift": (True, 2), "none.gift": (False, None)}
+    assert commands.similar(spark, path, threshold=0.5).count() == 1
+    assert commands.bank(spark, path).counters["total_questions"] == 2
+    assert commands.format_files(spark, path).where("changed").count() == 1
+    assert commands.format_files(spark, path, code=True, to_plain=False).where("changed").count() == 3
+    assert {r.n_changes for r in commands.fix_code_characters(spark, path, to_plain=False).collect()} == {1}
+    assert commands.fix_code_indents(spark, path).where("n_changes > 0").count() == 0
+    new = lambda df: sorted(r.new_path.rsplit("/", 1)[1] for r in df.collect())
+    assert new(commands.fix_names(spark, path)) == ["a_b.gift", "n.md", "q.xml"]
+    assert new(commands.fix_names_from_titles(spark, path)) == ["n_m.xml", "ti_t.gift"]
+    assert commands.fix_titles_from_names(spark, path).where("changed").count() == 2
+    assert commands.html_to_markdown(spark, path).where("new_content like '%**x**%'").count() == 1
+    assert new(commands.split(spark, path)) == ["tí_t.gift", "tí_t_2.gift"]
+    assert [r.n_changes for r in commands.xml_cdata(spark, path).collect()] == [1]
+    assert [r.n_changes for r in commands.xml_without_tags(spark, path).collect()] == [1]
+    assert new(commands.xml_names(spark, path)) == ["n_m.xml"]

@@ -191,3 +191,19 @@ def test_xml_title(value, xml, title):
 def test_tags_in_every_form(value, xml, left, n):
     assert value(X.remove_tags, xml) == left
     assert value(X.count_tags, xml) == n
+
+
+def test_new_names_are_unique(spark):
+    """Names that collide across groups, with files that stay, and with each other."""
+    paths = ["d/A b.gift", "d/a b.gift", "d/a b 1.gift", "d/c.gift", "d/C.gift", "d/Ç.gift", "e/A b.gift", "d/a_b_2.gift", "d/Á B.gift"]
+    plan = {r.filepath: r.new_path for r in changes.rename_to_slug(files(spark, *((p, "") for p in paths))).collect()}
+    assert len(set(plan.values())) == len(paths)
+    assert plan["d/A b.gift"] == "d/a_b.gift" and plan["d/a b 1.gift"] == "d/a_b_1.gift" and plan["d/a b.gift"] == "d/a_b_3.gift"
+    assert plan["d/a_b_2.gift"] == "d/a_b_2.gift"
+    assert plan["d/c.gift"] == "d/c.gift" and {plan["d/C.gift"], plan["d/Ç.gift"]} == {"d/c_1.gift", "d/c_2.gift"}
+    assert plan["e/A b.gift"] == "e/a_b.gift"
+    two = "::Q1:: x{=A}\n\n::Q1:: y{=B}"
+    parts = changes.split_files(files(spark, ("d/a.gift", two), ("d/b.gift", two), ("d/q1.gift", two), ("d/q1_2.gift", "z{=1}"))).collect()
+    names = [r.new_path for r in parts]
+    assert len(set(names)) == 6 and not {"d/a.gift", "d/q1.gift", "d/q1_2.gift"} & set(names)
+    assert {r.new_content.strip()[-5:] for r in parts} == {"x{=A}", "y{=B}"}
