@@ -317,9 +317,10 @@ def gift_title(text: Column) -> Column:
 
 def _xml_title(xml: str) -> str | None:
     try:
-        found = ElementTree.fromstring(xml.lstrip("\ufeff")).find(".//question/name/text")
+        root = ElementTree.fromstring(xml.lstrip("\ufeff"))
     except (ElementTree.ParseError, ValueError):
         return None
+    found = root.find("name/text" if root.tag == "question" else ".//question/name/text")
     return (found.text or "").strip() or None if found is not None else None
 
 
@@ -327,7 +328,7 @@ def _xml_title(xml: str) -> str | None:
 def xml_title(texts: pd.Series) -> pd.Series:
     """Name of the first question that has one, entities resolved; null where there is none or the XML is broken.
 
-    In Python because the JVM's xpath functions end the job at a broken document.
+    A question that is a document by itself counts as one. In Python because the JVM's xpath functions end the job at a broken document.
     """
     return texts.map(_xml_title, na_action="ignore").astype(object)
 

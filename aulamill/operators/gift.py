@@ -249,8 +249,12 @@ def parse(files: DataFrame, path: str = "filepath", content: str = "content") ->
 
 
 def wire(questions: DataFrame) -> DataFrame:
-    """(filepath, ordinal, json): each question as JSON with the wire names, empty fields left out."""
-    full = lambda c: F.when(F.size(c) > 0, F.col(c))
+    """(filepath, ordinal, json): each question as JSON with the wire names, empty fields left out.
+
+    Stored tables may name the fields of their structs otherwise.
+    """
+    full = lambda c, kind: F.when(F.size(c) > 0, F.col(c)).cast(kind)
+    text = lambda c: F.col(c).cast(FORMATTED)
     return questions.select(
         "filepath",
         "ordinal",
@@ -258,16 +262,16 @@ def wire(questions: DataFrame) -> DataFrame:
             F.struct(
                 "type",
                 F.nullif("title", F.lit("")).alias("title"),
-                "stem",
+                text("stem").alias("stem"),
                 F.nullif("id", F.lit("")).alias("id"),
-                full("tags").alias("tags"),
+                full("tags", "array<string>").alias("tags"),
                 F.when(F.col("has_embedded_answers"), F.lit(True)).alias("hasEmbeddedAnswers"),
-                F.col("global_feedback").alias("globalFeedback"),
-                full("choices").alias("choices"),
-                full("match_pairs").alias("matchPairs"),
+                text("global_feedback").alias("globalFeedback"),
+                full("choices", CHOICES).alias("choices"),
+                full("match_pairs", PAIRS).alias("matchPairs"),
                 F.col("is_true").alias("isTrue"),
-                F.col("true_feedback").alias("trueFeedback"),
-                F.col("false_feedback").alias("falseFeedback"),
+                text("true_feedback").alias("trueFeedback"),
+                text("false_feedback").alias("falseFeedback"),
             )
         ).alias("json"),
     )

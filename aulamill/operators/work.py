@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 _local: dict[str, str] = {}
+_folders: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -50,7 +51,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_root(spark)}/aulamill/{name}-{uuid.uuid4().hex}"
+    """A path for a working table, in a folder of the application that is deleted when it ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{work_root(spark)}/aulamill-{app}"
+    if _folders.get(app) != folder:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+        _folders[app] = folder
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

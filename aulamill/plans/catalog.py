@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -184,7 +185,33 @@ def wire_fields(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+def _object_sql(*fields: tuple[str, str]) -> str:
+    """A JSON object of (name, SQL of its JSON), without those that are null."""
+    listed = ", ".join(f"'\"{name}\":' || {value}" for name, value in fields)
+    return f"'{{' || array_to_string(list_filter([{listed}], lambda z: z is not null), ',') || '}}'"
+
+
+def _formatted_sql(column: str) -> str:
+    return f"case when {column} is not null then {_object_sql(('format', f'to_json({column}.fmt)'), ('text', f'to_json({column}.text)'))} end"
+
+
+def _list_sql(column: str, name: str, each: str) -> str:
+    return f"case when len({column}) > 0 then '[' || array_to_string(list_transform({column}, lambda {name}: {each}), ',') || ']' end"
+
+
+CHOICE_JSON = _object_sql(
+    ("is_correct", "c.is_correct::varchar"), ("weight", "to_json(c.weight)"), ("text", _formatted_sql("c.text")), ("feedback", _formatted_sql("c.feedback"))
+)
+PAIR_JSON = _object_sql(("subquestion", _formatted_sql("p.subquestion")), ("subanswer", "to_json(p.subanswer)"))
+WIRE_JSON = _object_sql(
+    ("type", "to_json(qtype)"), ("title", "to_json(nullif(title, ''))"), ("stem", _formatted_sql("stem")), ("id", "to_json(nullif(id, ''))"),
+    ("tags", "case when len(tags) > 0 then to_json(tags) end"), ("hasEmbeddedAnswers", "case when has_embedded_answers then 'true' end"),
+    ("globalFeedback", _formatted_sql("global_feedback")), ("choices", _list_sql("choices", "c", CHOICE_JSON)), ("matchPairs", _list_sql("match_pairs", "p", PAIR_JSON)),
+    ("isTrue", "is_true::varchar"), ("trueFeedback", _formatted_sql("true_feedback")), ("falseFeedback", _formatted_sql("false_feedback")),
+)
+
+
+@query(f"select filepath, ordinal, {WIRE_JSON} as json from questions")
 def wire_json(spark: SparkSession, d: str) -> DataFrame:
     """Stored questions in the JSON wire form."""
     return gift.wire(_questions(spark, d))
@@ -243,17 +270,22 @@ def gift_questions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: The text of a choice without its sign, weight and feedback.
+CHOICE_TEXT = rf"regexp_replace(regexp_replace(regexp_replace(s, '(?s)#.*$', ''), '^[=~]{S}*(%[+-]?\d+(\.\d+)?%)?', ''), {STRIP})"
+#: Escapes undone, as a chain for one text.
+UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace(replace({}, chr(92) || chr(92), chr(1)), chr(92) || ':', ':'), chr(92) || '#', '#'), chr(92) || '=', '='), chr(92) || '{{', '{{'), chr(92) || '}}', '}}'), chr(92) || '~', '~'), chr(92) || 'n', chr(10)), chr(1), chr(92))"
+
+
 @query(
     rf"""with {PARTS_SQL} select doc_id, ordinal::int as ordinal, (n - 1)::int as pos, s[1:1] = '=' as is_correct,
     try_cast(nullif(replace(regexp_extract(s, '^[=~]{S}*(%[+-]?\d+(?:\.\d+)?%)?', 1), '%', ''), '') as double) as weight,
-    regexp_replace(regexp_replace(regexp_replace(s, '(?s)#.*$', ''), '^[=~]{S}*(%[+-]?\d+(\.\d+)?%)?', ''), '^{S}+|{S}+$', '', 'g') as text
+    {UNESCAPE.format(CHOICE_TEXT)} as text
     from (select *, unnest(seg) as s, unnest(range(1, len(seg) + 1)) as n from segs where kind = 'choice')
-    where not contains(s, chr(92))
-    union all select doc_id, ordinal::int, 0, true, null, regexp_replace(cut, {STRIP}) from segs
-    where kind = 'choice' and len(seg) = 0 and regexp_matches(cut, '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]') and not contains(cut, chr(92))"""
+    union all select doc_id, ordinal::int, 0, true, null, {UNESCAPE.format(f"regexp_replace(cut, {STRIP})")} from segs
+    where kind = 'choice' and len(seg) = 0 and regexp_matches(cut, '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]')"""
 )
 def gift_choices(spark: SparkSession, d: str) -> DataFrame:
-    """Choices of multiple-choice and short questions (without escapes, where SQL can follow)."""
+    """Choices of multiple-choice and short questions."""
     rows = _parsed(spark, d).where("type in ('MC', 'Short')").select(_doc_id(), "ordinal", F.posexplode("choices").alias("pos", "c"))
     return rows.select("doc_id", "ordinal", "pos", "c.is_correct", "c.weight", F.col("c.text.text").alias("text"))
 
@@ -270,9 +302,49 @@ def gift_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "ordinal", "pos", F.col("p.subquestion.text").alias("subquestion"), F.col("p.subanswer").alias("subanswer"))
 
 
-@query()
+#: Stems of blocks: the text around the answers, and the format it names.
+STEMS_SQL = rf"""{PARTS_SQL},
+    around as (select *, regexp_replace(case when has_block then regexp_extract(rest, '(?s)^([^{{]*)\{{', 1) else rest end, {STRIP}) as before,
+      case when has_block then regexp_replace(regexp_extract(rest, '(?s)\}}([^}}]*)$', 1), {STRIP}) else '' end as after from segs),
+    stems as (select *, case when has_block and regexp_matches(before, '^\[(?:html|markdown|plain|moodle)\]') then regexp_extract(before, '^\[([a-z]+)\]', 1) else 'moodle' end as format,
+      case when has_block then regexp_replace(before, '^\[(?:html|markdown|plain|moodle)\]', '') else before end || case when after <> '' then ' _____ ' || after else '' end as stem from around)"""
+
+
+@query(
+    rf"""with {STEMS_SQL} select doc_id, ordinal::int as ordinal, format, {UNESCAPE.format(f"regexp_replace(stem, {STRIP})")} as text, has_block and after <> '' as embedded,
+    regexp_replace(regexp_extract_all(comments, '\[id:([^\]]+)\]', 1)[-1], {STRIP}) as id from stems"""
+)
+def gift_stems(spark: SparkSession, d: str) -> DataFrame:
+    """The stem of each question with its format, whether answers stand in it, and the id its comments give."""
+    return _parsed(spark, d).select(
+        _doc_id(), "ordinal", F.col("stem.format").alias("format"), F.col("stem.text").alias("text"), F.col("has_embedded_answers").alias("embedded"), "id"
+    )
+
+
+@query(
+    rf"""with {PARTS_SQL}, numeric as (select doc_id, ordinal, regexp_replace(answers[2:], '(?s)####.+$', '') as cut from kinds where kind = 'Numerical'),
+    seg as (select *, regexp_extract_all(cut, '[=~][^=~]*') as s from numeric)
+    select doc_id, ordinal::int as ordinal, (n - 1)::int as pos, s[n][1:1] = '=' as is_correct,
+    try_cast(nullif(replace(regexp_extract(s[n], '^[=~](%[+-]?\d+(?:\.\d+)?%)?', 1), '%', ''), '') as double) as weight,
+    nullif(regexp_replace(regexp_replace(regexp_replace(s[n], '(?s)#.*$', ''), '^[=~](%[+-]?\d+(\.\d+)?%)?', ''), {STRIP}), '') as text
+    from (select *, unnest(range(1, len(s) + 1)) as n from seg)
+    union all select doc_id, ordinal::int, 0, true, null, regexp_replace(cut, {STRIP}) from seg where len(s) = 0 and regexp_matches(cut, '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]')"""
+)
+def gift_numerical(spark: SparkSession, d: str) -> DataFrame:
+    """Choices of numerical questions, as text."""
+    rows = _parsed(spark, d).where("type = 'Numerical'").select(_doc_id(), "ordinal", F.posexplode("choices").alias("pos", "c"))
+    return rows.select("doc_id", "ordinal", "pos", "c.is_correct", "c.weight", F.col("c.text.text").alias("text"))
+
+
+@query(
+    rf"""with {PARTS_SQL}, tf as (select doc_id, ordinal, answers, regexp_extract(answers, '(?is)^(?:TRUE|FALSE|T|F){S}*#(.*)$', 1) as said from kinds where kind = 'TF'),
+    notes as (select *, list_filter(list_transform(string_split(replace(said, '####', chr(2)), '#'), lambda p: regexp_replace(replace(p, chr(2), '####'), {STRIP})),
+      lambda p: p <> '' and p[1:3] <> '###') as note from tf)
+    select doc_id, ordinal::int as ordinal, upper(answers[1:1]) = 'T' as is_true, {UNESCAPE.format("note[1]")} as true_feedback, {UNESCAPE.format("note[2]")} as false_feedback,
+    {UNESCAPE.format(f"nullif(regexp_replace(regexp_extract(answers, '(?s)####(.+)$', 1), {STRIP}), '')")} as global_feedback from notes"""
+)
 def gift_feedback(spark: SparkSession, d: str) -> DataFrame:
-    """True/false questions with their feedback (SQL lacks the lookaround this needs)."""
+    """True/false questions with their feedback."""
     return _parsed(spark, d).where("type = 'TF'").select(
         _doc_id(), "ordinal", "is_true", F.col("true_feedback.text").alias("true_feedback"),
         F.col("false_feedback.text").alias("false_feedback"), F.col("global_feedback.text").alias("global_feedback"),
@@ -344,6 +416,11 @@ PAIR_SQL = """
     pairs as (select *, cosine * 0.4 + jaccard * 0.6 as similarity from scored where cosine * 0.4 + jaccard * 0.6 >= 0.85)"""
 
 
+#: Each copy but the first of its class; copies whose words all weigh nothing score 0.6.
+COPIES_SQL = """copies as (select k.id as class_id, c.id, k.m as n_members, 1.0::double as similarity from clean c join class k using (clean)
+      join norm x on x.id = k.id where x.norm > 0 and c.id <> k.id)"""
+
+
 @query(
     f"with {QUESTION_WORDS}, {PAIR_SQL} select a, b, round(jaccard, 6) as jaccard, round(cosine, 6) as cosine, round(similarity, 6) as similarity from pairs"
 )
@@ -397,13 +474,23 @@ def similar_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {QUESTION_WORDS}, {PAIR_SQL} select a, b, round(similarity, 6) as similarity, x.filepath as filepath_a, x.title as title_a, x.qtype as type_a,
-    y.filepath as filepath_b, y.title as title_b, y.qtype as type_b from pairs join questions x on x.question_id = a join questions y on y.question_id = b"""
+    f"""with {QUESTION_WORDS}, {PAIR_SQL}, {COPIES_SQL} select a, b, round(similarity, 6) as similarity, x.filepath as filepath_a, x.title as title_a, x.qtype as type_a,
+    y.filepath as filepath_b, y.title as title_b, y.qtype as type_b
+    from (select a, b, similarity from pairs union all select class_id, id, similarity from copies) join questions x on x.question_id = a join questions y on y.question_id = b"""
 )
 def similar_named(spark: SparkSession, d: str) -> DataFrame:
-    """Similar questions with their files, titles and types."""
-    pairs = similar.similar_pairs(_clean_questions(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
-    return similar.with_questions(pairs, _questions(spark, d))
+    """Similar questions with their files, titles and types: pairs between classes, and each copy with the first of its class."""
+    corpus = similar.prepare(_clean_questions(spark, d))
+    pairs = similar.similar_pairs(corpus).select("a", "b", "similarity")
+    copies = similar.copies(corpus).select(F.col("class_id").alias("a"), F.col("id").alias("b"), "similarity")
+    rounded = pairs.unionByName(copies).withColumn("similarity", F.round("similarity", 6))
+    return similar.with_questions(rounded, _questions(spark, d))
+
+
+@query(f"with {QUESTION_WORDS}, {COPIES_SQL} select class_id, id, n_members, similarity from copies")
+def duplicate_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each copy of a question with the first of its class."""
+    return similar.copies(_clean_questions(spark, d))
 
 
 # ---- text transforms ------------------------------------------------------
@@ -457,7 +544,13 @@ def code_spans_to_wide(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("text_id", X.map_code(F.col("text"), False).alias("mapped"))
 
 
-@query()
+@query(
+    rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents where text is not null),
+    f as (select *, regexp_matches(line, '^{S}*```') as fence from l),
+    k as (select *, not fence and sum(fence::int) over (partition by doc_id order by i) % 2 = 1 as code, len(regexp_extract(line, '^ *')) // 4 as groups from f)
+    select doc_id, string_agg(case when code then repeat('····', groups) || line[groups * 4 + 1:] else line end, chr(10) order by i) as indented,
+    coalesce(sum(groups) filter (code), 0)::int as n from k group by doc_id"""
+)
 def code_indents(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "documents").where("text is not null")
     return rows.select("doc_id", X.indent_code(F.col("text")).alias("indented"), X.count_indents(F.col("text")).alias("n"))
@@ -474,24 +567,49 @@ def cdata_missing(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", X.count_missing_cdata(F.col("text")).cast("long").alias("n_missing"))
 
 
-@query()
+NEEDS_CDATA = rf"""regexp_matches(regexp_extract(b, '(?s)^<text[^>]*>(.*?)</text>$', 1), '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]')
+      and not regexp_matches(b, '(?s)^<text[^>]*>{S}*<!\[CDATA\[')"""
+
+
+def _segments_sql(table: str, pattern: str, change: str, opening: str = "") -> str:
+    """A text put together again with ``change`` of each part b that matches, after an opening that is left alone."""
+    return rf"""array_to_string(list_transform(range(1, len(o) + 1), lambda i: o[i] || coalesce(list_transform(m[i:i], lambda b: {change})[1], '')), '')"""
+
+
+@query(
+    rf"""with t as (select doc_id, string_split(regexp_replace(text, '(?s)<text(?:{S}[^>]*[^>/])?>.*?</text>', chr(1), 'g'), chr(1)) as o,
+      regexp_extract_all(text, '(?s)<text(?:{S}[^>]*[^>/])?>.*?</text>') as m from documents where fmt = 'xml' and text is not null)
+    select doc_id, {_segments_sql("t", "", f"case when {NEEDS_CDATA} then regexp_replace(b, '(?s)^(<text[^>]*>)(.*?)(</text>)$', '{chr(92)}1<![CDATA[{chr(92)}2]]>{chr(92)}3') else b end")} as xml from t"""
+)
 def cdata_ensured(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
     return rows.select("doc_id", X.ensure_cdata(F.col("text")).alias("xml"))
 
 
-@query()
+@query(
+    rf"""with t as (select doc_id, text, string_split(text, '</question>') as q from documents where fmt = 'xml' and text is not null),
+    u as (select doc_id, q, list_transform(q[:-2], lambda b: regexp_matches(b, '(?s)<question[ >].*<tags(?:{S}[^>]*)?/?>')) as had from t)
+    select doc_id, array_to_string(list_transform(range(1, len(q) + 1), lambda i: case when i < len(q) and had[i]
+      then regexp_replace(q[i], '(?s)^(.*?<question[ >].*?)(?:<tags(?:{S}[^>]*)?/>|<tags(?:{S}[^>]*)?>.*?</tags>)', '\1') else q[i] end), '</question>') as xml,
+    len(list_filter(had, lambda h: h))::int as n from u"""
+)
 def tags_removed(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
     return rows.select("doc_id", X.remove_tags(F.col("text")).alias("xml"), X.count_tags(F.col("text")).alias("n"))
 
 
+#: Characters that decompose to one ASCII character (kinds of space, wide forms, raised digits), and that character; accents aside.
+SINGLE = [(c, unicodedata.normalize("NFKD", c)) for c in map(chr, [*range(0xA0, 0x100), *range(0x2000, 0x2100), *range(0x3000, 0x3001), *range(0xFF01, 0xFF5F)])]
+SINGLE = [(c, plain) for c, plain in SINGLE if len(plain) == 1 and plain.isascii() and plain not in "'\\"]
+PLAIN_SQL = "strip_accents(replace(replace(translate(title, '{}', '{}'), '…', '...'), '⩵', '=='))".format(*("".join(x) for x in zip(*SINGLE)))
+
+
 @query(
-    rf"""select question_id, lower(regexp_replace(regexp_replace(regexp_replace(strip_accents(title), '[^A-Za-z0-9_\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '[-\s]+', '_', 'g')) as slug
-    from questions where title is not null and regexp_matches(title, '^[\x20-\x7e\x{{c0}}-\x{{ff}}]*$') and not regexp_matches(title, '[\x{{d7}}\x{{f7}}\x{{c6}}\x{{e6}}\x{{d8}}\x{{f8}}\x{{df}}\x{{d0}}\x{{f0}}\x{{de}}\x{{fe}}]')"""
+    rf"""select question_id, lower(regexp_replace(regexp_replace(regexp_replace({PLAIN_SQL}, '[^A-Za-z0-9_\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '[-\s]+', '_', 'g')) as slug
+    from questions where title is not null"""
 )
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    """Slugs of all titles. The SQL follows only on those in Latin letters with accents, so it has fewer rows."""
+    """Slugs of all titles."""
     rows = read_table(spark, d, "questions").where("title is not null")
     return rows.select("question_id", X.slugify("title").alias("slug"))
 
@@ -521,13 +639,26 @@ def gift_formatted(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", X.format_gift(F.col("content")).alias("formatted"), X.format_gift(F.col("content"), True).alias("correct_first"))
 
 
-@query()
+CDATA_PARTS = r"""string_split(regexp_replace(text, '(?s)<!\[CDATA\[.*?\]\]>', chr(1), 'g'), chr(1)) as o,
+      regexp_extract_all(text, '(?s)<!\[CDATA\[.*?\]\]>') as m from documents where fmt = 'xml' and text is not null"""
+
+
+@query(
+    rf"""with t as (select doc_id, {CDATA_PARTS}) select doc_id, replace({_segments_sql("t", "", "'<![CDATA[' || " + _html_sql("b[10:-4]") + " || ']]>'")},
+    'format="html"', 'format="markdown"') as xml from t"""
+)
 def html_in_xml(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
     return rows.select("doc_id", X.html_to_markdown_in_xml(F.col("text")).alias("xml"))
 
 
-@query()
+@query(
+    rf"""with c as (select doc_id, {CDATA_PARTS}), b as (select doc_id, o, list_transform(m, lambda b: b) as m from c),
+    parts as (select doc_id, o, m, list_transform(m, lambda b: string_split(regexp_replace(b, '`[^`\n]+`', chr(1), 'g'), chr(1))) as oo,
+      list_transform(m, lambda b: regexp_extract_all(b, '`[^`\n]+`')) as mm from b)
+    select doc_id, array_to_string(list_transform(range(1, len(o) + 1), lambda i: o[i] || case when i <= len(m) then
+      array_to_string(list_transform(range(1, len(oo[i]) + 1), lambda j: oo[i][j] || coalesce({_chain_sql("mm[i][j]", WIDE)}, '')), '') else '' end), '') as xml from parts"""
+)
 def code_in_cdata(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
     return rows.select("doc_id", X.map_code_in_cdata(F.col("text"), False).alias("xml"))
@@ -553,10 +684,22 @@ def gift_retitled(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""select doc_id, nullif(regexp_replace(regexp_replace(regexp_extract(text, '(?s)<question[ >].*?<name>{S}*<text[^>]*>(.*?)</text>', 1),
-    '(?s)<!\[CDATA\[(.*?)\]\]>', '\1', 'g'), {STRIP}), '') as title from documents where fmt = 'xml' and text is not null"""
+    rf"""with n as (select doc_id, regexp_extract(text, '(?s)<name>.*?</name>') as xml from documents where fmt = 'xml' and text is not null),
+    b as (select doc_id, replace(replace(regexp_extract(xml, '(?s)<text[^>]*>(.*?)</text>', 1), chr(13) || chr(10), chr(10)), chr(13), chr(10)) as body from n),
+    t as (select doc_id, body, regexp_replace(body, '(?s)<!\[CDATA\[(.*?)\]\]>', '\1', 'g') as inner_text from b)
+    select doc_id, case when not regexp_matches(regexp_replace(body, '(?s)<!\[CDATA\[.*?\]\]>|&(?:amp|lt|gt|quot|apos);', '', 'g'), '[<&]') then
+      nullif(regexp_replace(replace(replace(replace(replace(replace(inner_text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&'), {STRIP}), '') end as title from t"""
 )
 def xml_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The title in each document's name element, which is read as a document of its own."""
+    rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
+    name = F.concat(F.lit("<quiz><question>"), F.regexp_extract("text", "(?s)<name>.*?</name>", 0), F.lit("</question></quiz>"))
+    return rows.select("doc_id", X.xml_title(name).alias("title"))
+
+
+@query()
+def xml_document_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The title of each XML document; SQL can't tell which documents are broken."""
     rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
     return rows.select("doc_id", X.xml_title(F.col("text")).alias("title"))
 
@@ -584,6 +727,22 @@ def batches_of_five(spark: SparkSession, d: str) -> DataFrame:
     return enrich.batched(_documents(spark, d, "gift"), 5).select("batch_id", "slot", _doc_id(), "pos")
 
 
+@query(
+    rf"""with {SPLIT_SQL}, g as (select doc_id, nullif(regexp_replace(regexp_extract(text, '(?s)^::(.*?)::', 1), {STRIP}), '') as title from documents where fmt = 'gift' and text is not null),
+    p as (select distinct filepath from questions)
+    select 'split' as plan, sum(len(blocks))::bigint as n_rows, sum(len(blocks))::bigint as n_paths from src where len(blocks) > 1
+    union all select 'title', count(*), count(*) from g where title is not null union all select 'slug', count(*), count(*) from p"""
+)
+def plan_names(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and distinct new paths of each plan: no two rows of a plan write the same file."""
+    plans = {"split": split_plan, "title": title_rename_plan, "slug": slug_rename_plan}
+    counts = [
+        plan(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("new_path").alias("n_paths")).select(F.lit(name).alias("plan"), "n_rows", "n_paths")
+        for name, plan in plans.items()
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query()
 def split_plan(spark: SparkSession, d: str) -> DataFrame:
     return changes.split_files(_documents(spark, d, "gift"))
@@ -604,31 +763,82 @@ def xml_rename_plan(spark: SparkSession, d: str) -> DataFrame:
     return changes.rename_xml(_documents(spark, d, "xml"))
 
 
-@query()
+@query(
+    r"""with f as (select 'docs/' || lpad(doc_id::varchar, 12, '0') || '.gift' as filepath, lpad(doc_id::varchar, 12, '0') as title, text from documents where fmt = 'gift' and text is not null),
+    n as (select *, '::' || title || '::' || case when regexp_matches(text, '(?s)^::.*?::') then regexp_replace(text, '(?s)^::.*?::', '') else chr(10) || text end as new_content from f)
+    select filepath, title, new_content, new_content <> text as changed from n"""
+)
 def title_from_name_plan(spark: SparkSession, d: str) -> DataFrame:
     return changes.titles_from_names(_documents(spark, d, "gift"))
 
 
 def _bank(spark: SparkSession, d: str) -> report.Bank:
-    """The GIFT documents as a bank of files."""
-    files = _documents(spark, d, "gift").select("filepath", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
-    return report.Bank(files, stored(_parsed(spark, d), "parsed"), "docs")
-
-
-@query()
+    """The stored questions as a bank of files."""
+    questions = _questions(spark, d)
+    files = questions.select("filepath").distinct().select("filepath", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+    return report.Bank(files, questions)
+
+
+ISSUE_SQL = """issue as (select filepath, '⚠️  ' || filepath || ': ' || case issue when 'empty' then 'Pregunta sin título ni texto'
+      when 'mc_without_correct' then 'Pregunta MC sin respuesta correcta - ' || label when 'matching_below_two_pairs' then 'Pregunta Matching con menos de 2 pares - ' || label
+      else 'Pregunta Short sin respuestas - ' || label end as issue from (""" + SQL["question_issues"] + "))"
+BANK_SQL = f"""{QUESTION_WORDS}, {PAIR_SQL}, {COPIES_SQL}, {ISSUE_SQL},
+    rows_of as (select a, b, similarity from pairs union all select class_id, id, similarity from copies),
+    duplicate as (select row_number() over (order by round(similarity, 6) desc, a, b) as nth, similarity, x.filepath as fa, coalesce(x.title, '') as ta, x.title as title_a, x.qtype as ka,
+      y.filepath as fb, coalesce(y.title, '') as tb, y.title as title_b, y.qtype as kb from rows_of join questions x on x.question_id = a join questions y on y.question_id = b),
+    t as ({SQL["type_counts"]}), c as ({SQL["category_counts"]}), g as ({SQL["tag_counts"]}), z as ({SQL["depth_counts"]}), e as ({SQL["description_texts"]}),
+    w as (select (select count(*) from (select distinct filepath from questions)) as total_files, (select count(*) from issue) as n_issues, (select count(*) from e) as n_descriptions,
+      (select coalesce(sum(p.m * q.m), 0)::bigint from pairs join class p on p.id = a join class q on q.id = b) + (select coalesce(sum(n_members), 0)::bigint from copies) // 2 as n_duplicates,
+      x.* from ({SQL["content_quality"]}) x)"""
+
+
+@query(
+    f"""with {BANK_SQL}
+    select 0 as section, unnest(['Total de archivos GIFT: ' || total_files, '  ✅ Archivos válidos: ' || total_files, '  ❌ Archivos inválidos: 0', 'Total de preguntas: ' || total_questions]) as line from w
+    union all select 1, printf('  %-20s: %5d (%5.1f%%)', type, n, percent) from t union all select 2, printf('  %-60s: %4d', category[1:60], n) from c
+    union all select 3, printf('  %-30s: %4d', coalesce(tag, 'null'), n) from g
+    union all select 4, unnest(['Preguntas con tags: ' || with_tags, 'Preguntas sin tags: ' || without_tags, 'Preguntas con feedback global: ' || with_feedback,
+      'Preguntas sin feedback global: ' || without_feedback, 'Preguntas vacías: ' || empty_questions]) from w
+    union all select 5, printf('  Nivel %d: %d archivos', depth, n_files) from z
+    union all select 6, unnest(['Total de problemas: ' || n_issues, '']) from w where n_issues > 0 union all select 6, '  ' || issue from issue
+    union all select 8, unnest(['Total: ' || n_descriptions, {", ".join("'" + x.replace("'", "''") + "'" for x in report.DESCRIPTION_NOTES)}, '']) from w where n_descriptions > 0
+    union all select 8, '  📄 ' || filepath || chr(10) || '     Título: ' || title || case when text <> '<sin texto>' then
+      chr(10) || '     Texto: ' || replace(text, chr(10), ' ')[1:80] || '...' else '' end || chr(10) from e
+    union all select 9, unnest(['Total de duplicados encontrados: ' || n_duplicates, 'Threshold de similitud: 0.85', '']) from w where n_duplicates > 0
+    union all select 9, 'Duplicado ' || nth || printf(': Similitud = %.3f', similarity) || chr(10) || '  Pregunta A (' || ka || '): ' || ta[1:70] || chr(10) || '    Archivo: ' || fa || chr(10)
+      || '  Pregunta B (' || kb || '): ' || tb[1:70] || chr(10) || '    Archivo: ' || fb || chr(10) || '  Comando: meld -n ' || chr(39) || fa || chr(39) || ' ' || chr(39) || fb || chr(39) || chr(10) from duplicate
+    union all select 10, unnest(list_filter([
+      case when without_tags > 0 then printf('  • %.1f%% de preguntas sin tags - considera añadir tags para mejor organización', without_tags / total_questions * 100) end,
+      case when without_feedback > 0 then printf('  • %.1f%% de preguntas sin feedback global - el feedback ayuda al aprendizaje', without_feedback / total_questions * 100) end,
+      case when empty_questions > 0 then '  • ' || empty_questions || ' preguntas vacías detectadas - requieren revisión' end,
+      case when n_duplicates > 0 then '  • ' || n_duplicates || ' preguntas duplicadas detectadas - considera revisar para eliminar redundancias' end,
+      case when n_issues = 0 and n_duplicates = 0 then '{report.WELL}' end], lambda x: x is not null)) from w"""
+)
 def bank_report(spark: SparkSession, d: str) -> DataFrame:
     """The lines of the bank report."""
-    return report.report_lines(_bank(spark, d))
+    return report.report_lines(_bank(spark, d)).select("section", "line")
 
 
-@query()
+@query(
+    f"""with {BANK_SQL}, o as (
+    select 0 as section, '"stats": {{"totalFiles": ' || total_files || ', "validFiles": ' || total_files || ', "invalidFiles": 0, "totalQuestions": ' || total_questions || ', "byType": {{' as line from w
+    union all select 1, to_json(type) || ': ' || n from t union all select 3, to_json(category) || ': ' || n from c union all select 5, to_json(coalesce(tag, 'null')) || ': ' || n from g
+    union all select 9, '"' || depth || '": ' || n_files from z union all select 11, to_json(issue)::varchar from issue
+    union all select 13, '"question1":' || to_json({{'filepath': fa, 'title': title_a, 'type': ka}}) || ',"question2":' || to_json({{'filepath': fb, 'title': title_b, 'type': kb}}) from duplicate
+    union all select 15, to_json({{'filepath': filepath, 'title': title, 'text': text}})::varchar from e)
+    select section, case when section = 13 then replace(line, '"title":null,', '') else line end as line from o"""
+)
 def bank_json(spark: SparkSession, d: str) -> DataFrame:
-    """The counters of the bank as JSON, and each finding."""
-    bank = _bank(spark, d)
-    return report.as_json(bank).select(F.lit("stats").alias("section"), F.col("stats").alias("json")).unionByName(report.findings(bank))
+    """The rows of the JSON document, without the signs between them and without the similarities, whose last digits depend on the order of sums."""
+    lines = report.json_lines(_bank(spark, d)).where("section in (0, 1, 3, 5, 9, 11, 13, 15)")
+    bare = F.regexp_replace(F.regexp_replace("line", r"^,", ""), r'^\{"similarity":[-0-9.E]+,(.*)\}$', "$1")
+    return lines.select("section", F.when(F.col("section") == 0, F.substr(bare, F.lit(2))).otherwise(bare).alias("line"))
 
 
-@query()
+@query(
+    rf"""with {SPLIT_SQL} select 'docs/' || lpad(doc_id::varchar, 12, '0') || '.gift' as filepath, 'docs/' || lpad(doc_id::varchar, 12, '0') || '_improve.gift' as new_path,
+    array_to_string(blocks, chr(10) || chr(10)) || chr(10) as new_content from src where len(blocks) > 0"""
+)
 def enriched_files(spark: SparkSession, d: str) -> DataFrame:
     """The batch path with the stand-in service that returns its input."""
     return enrich.outputs(enrich.enriched(_documents(spark, d, "gift")))
@@ -643,7 +853,7 @@ RAW_SQL = rf"""
         when not regexp_matches(s, '(?s)^(?:"(?:[^"]|"")*"|[^",][^",]*|)(?:,(?:"(?:[^"]|"")*"|[^",]+|))*$') then 'quoting'
         when not regexp_matches(s, '(?s)^{FIELD}(?:,{FIELD}){{7}}$') or regexp_matches(s, '(?s)^(?:(?:"(?:[^"]|"")*"|[^",\r\n]*),)*[^",\r\n]*[\r\n]') then 'columns' end as early from t),
     g as (select *, regexp_extract(s, '(?s)^({FIELD}),({FIELD}),({FIELD}),({FIELD}),({FIELD}),({FIELD}),({FIELD}),({FIELD})$', ['a', 'b', 'c', 'd', 'e', 'f', 'p', 'h']) as r from f),
-    h as (select line_id, early, list_transform([r.a, r.b, r.c, r.d, r.e, r.f, r.p],
+    h as (select line_id, early, list_transform([r.a, r.b, r.c, r.d, r.e, r.f, r.p, r.h],
       lambda x: case when x[1:1] = '"' then replace(x[2:-2], '""', '"') else x end) as v from g),
     k as (select *, case when early is not null then early when not (
       regexp_matches(v[1], '^[1-9][0-9]{{0,17}}$') and v[2] <> '' and not regexp_matches(v[2], '^{S}|{S}$')
@@ -664,9 +874,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""with {RAW_SQL} select line_id, v[1]::bigint as scan_id, v[2] as root_dir, strptime(v[3], '%Y-%m-%d %H:%M:%S') as scanned_at,
-    v[4]::bigint as total_files, v[5]::bigint as valid_files, v[6]::bigint as invalid_files, try_cast(nullif(v[7], '') as double) as with_tags_pct
+    v[4]::bigint as total_files, v[5]::bigint as valid_files, v[6]::bigint as invalid_files, try_cast(nullif(v[7], '') as double) as with_tags_pct, v[8] as parse_errors
     from k where failure is null"""
 )
 def p3_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The valid rows as the 8 typed columns of raw_column. The SQL leaves out the last one, parse_errors."""
+    """The valid rows as the 8 typed columns of raw_column."""
     return rawcsv.valid_records(_raw(spark, d))
