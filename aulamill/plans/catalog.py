@@ -322,18 +322,31 @@ def gift_stems(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""with {PARTS_SQL}, numeric as (select doc_id, ordinal, regexp_replace(answers[2:], '(?s)####.+$', '') as cut from kinds where kind = 'Numerical'),
-    seg as (select *, regexp_extract_all(cut, '[=~][^=~]*') as s from numeric)
-    select doc_id, ordinal::int as ordinal, (n - 1)::int as pos, s[n][1:1] = '=' as is_correct,
+    rf"""with built as (select question_id, array_to_string(list_transform(list_filter(choices, lambda c: c.text.text is not null), lambda c: case when c.is_correct then '=' else '~' end
+      || coalesce('%' || c.weight || '%', '') || c.text.text || coalesce('#' || c.feedback.text, '')), ' ') as cut from questions where qtype = 'Numerical'),
+    seg as (select *, regexp_extract_all(regexp_replace(cut, '(?s)####.+$', ''), '[=~][^=~]*') as s from built)
+    select question_id, (n - 1)::int as pos, s[n][1:1] = '=' as is_correct,
     try_cast(nullif(replace(regexp_extract(s[n], '^[=~](%[+-]?\d+(?:\.\d+)?%)?', 1), '%', ''), '') as double) as weight,
     nullif(regexp_replace(regexp_replace(regexp_replace(s[n], '(?s)#.*$', ''), '^[=~](%[+-]?\d+(\.\d+)?%)?', ''), {STRIP}), '') as text
-    from (select *, unnest(range(1, len(s) + 1)) as n from seg)
-    union all select doc_id, ordinal::int, 0, true, null, regexp_replace(cut, {STRIP}) from seg where len(s) = 0 and regexp_matches(cut, '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]')"""
+    from (select *, unnest(range(1, len(s) + 1)) as n from seg)"""
 )
 def gift_numerical(spark: SparkSession, d: str) -> DataFrame:
-    """Choices of numerical questions, as text."""
-    rows = _parsed(spark, d).where("type = 'Numerical'").select(_doc_id(), "ordinal", F.posexplode("choices").alias("pos", "c"))
-    return rows.select("doc_id", "ordinal", "pos", "c.is_correct", "c.weight", F.col("c.text.text").alias("text"))
+    """Stored numerical questions written as GIFT and parsed again: choices as text."""
+    each = F.transform(
+        F.filter("choices", lambda c: c["text"]["text"].isNotNull()),
+        lambda c: F.concat(
+            F.when(c["is_correct"], "=").otherwise("~"),
+            F.coalesce(F.concat(F.lit("%"), c["weight"].cast("string"), F.lit("%")), F.lit("")),
+            c["text"]["text"],
+            F.coalesce(F.concat(F.lit("#"), c["feedback"]["text"]), F.lit("")),
+        ),
+    )
+    built = read_table(spark, d, "questions").where("qtype = 'Numerical'").select("question_id", F.array_join(each, " ").alias("cut"))
+    files = built.select(
+        F.col("question_id").cast("string").alias("filepath"), F.concat(F.lit("N {#"), "cut", F.lit("}")).alias("content")
+    )
+    rows = gift.parse(files).where("type = 'Numerical'").select(F.col("filepath").cast("long").alias("question_id"), F.posexplode("choices").alias("pos", "c"))
+    return rows.select("question_id", "pos", "c.is_correct", "c.weight", F.col("c.text.text").alias("text"))
 
 
 @query(
@@ -571,15 +584,15 @@ NEEDS_CDATA = rf"""regexp_matches(regexp_extract(b, '(?s)^<text[^>]*>(.*?)</text
       and not regexp_matches(b, '(?s)^<text[^>]*>{S}*<!\[CDATA\[')"""
 
 
-def _segments_sql(table: str, pattern: str, change: str, opening: str = "") -> str:
-    """A text put together again with ``change`` of each part b that matches, after an opening that is left alone."""
+def _segments_sql(change: str) -> str:
+    """A text put together again from the parts o outside and ``change`` of each part b of m inside."""
     return rf"""array_to_string(list_transform(range(1, len(o) + 1), lambda i: o[i] || coalesce(list_transform(m[i:i], lambda b: {change})[1], '')), '')"""
 
 
 @query(
     rf"""with t as (select doc_id, string_split(regexp_replace(text, '(?s)<text(?:{S}[^>]*[^>/])?>.*?</text>', chr(1), 'g'), chr(1)) as o,
       regexp_extract_all(text, '(?s)<text(?:{S}[^>]*[^>/])?>.*?</text>') as m from documents where fmt = 'xml' and text is not null)
-    select doc_id, {_segments_sql("t", "", f"case when {NEEDS_CDATA} then regexp_replace(b, '(?s)^(<text[^>]*>)(.*?)(</text>)$', '{chr(92)}1<![CDATA[{chr(92)}2]]>{chr(92)}3') else b end")} as xml from t"""
+    select doc_id, {_segments_sql(f"case when {NEEDS_CDATA} then regexp_replace(b, '(?s)^(<text[^>]*>)(.*?)(</text>)$', '{chr(92)}1<![CDATA[{chr(92)}2]]>{chr(92)}3') else b end")} as xml from t"""
 )
 def cdata_ensured(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "documents").where("fmt = 'xml' and text is not null")
@@ -644,7 +657,7 @@ CDATA_PARTS = r"""string_split(regexp_replace(text, '(?s)<!\[CDATA\[.*?\]\]>', c
 
 
 @query(
-    rf"""with t as (select doc_id, {CDATA_PARTS}) select doc_id, replace({_segments_sql("t", "", "'<![CDATA[' || " + _html_sql("b[10:-4]") + " || ']]>'")},
+    rf"""with t as (select doc_id, {CDATA_PARTS}) select doc_id, replace({_segments_sql("'<![CDATA[' || " + _html_sql("b[10:-4]") + " || ']]>'")},
     'format="html"', 'format="markdown"') as xml from t"""
 )
 def html_in_xml(spark: SparkSession, d: str) -> DataFrame:
