@@ -242,6 +242,16 @@ def test_history_edges(spark, tmp_path):
     assert [(r.id, r.canon) for r in history.normalised(source, "k").collect()] == [(3, "t"), (4, "b a a b")]
 
 
+def test_chance_repeats_count(spark, tmp_path):
+    """Two independent questions that share exactly 0.7 of their words repeat each other by the definition, planted or not."""
+    old = "Búsqueda del paquete entrante Según el manual Torpifen, el contador de los certificados caducados debe ejecutarse en orden inverso aunque el análisis de la consulta anidada termine antes. Completa: en Nitorqua, la caché de la sesión abierta equivale a _____ unidades."
+    new = "Vector del paquete entrante en Melraren Según el manual Bririxa, la caché de los certificados caducados debe ejecutarse en orden inverso aunque el contador de las etiquetas ausentes termine antes. Completa: en Nelsodri, la búsqueda de la consulta anidada equivale a _____ unidades."
+    assert brute_first([(1, old)], [(2, new)]) == {2: 1}
+    known = history.History.create(spark, str(tmp_path / "h"), as_sets(spark, [(1, old)]))
+    assert {r.id: r.first_id for r in known.check(as_sets(spark, [(2, new)])).collect()} == {2: 1}
+    known.close()
+
+
 def test_sketches_never_hide_a_pair():
     rng = np.random.default_rng(3)
     sketcher = history.Sketcher(np.zeros(history.SLOTS, np.float16), 5.0)
