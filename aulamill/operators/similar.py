@@ -52,24 +52,26 @@ def token_counts(clean: DataFrame) -> DataFrame:
     )
 
 
-def _counted_words(words: Column) -> Column:
-    """array<struct<word, cnt>> of a list of words, by one sort and steps that are linear in it."""
-    ordered = F.sort_array(words)
-    before = F.concat(F.array(F.lit(None).cast("string")), ordered)
-    # One element more than words: the last marks the end.
+def _counted_words(rows: DataFrame) -> DataFrame:
+    """Adds ``counts``, array<struct<word, cnt>> of the list ``words``: one sort, then steps linear in it.
+
+    Each step is a column of its own, so none is computed twice, and no row leaves its task.
+    """
+    runs = F.zip_with(
+        "ordered",
+        F.concat(F.array(F.lit(None).cast("string")), "ordered"),
+        lambda w, last: F.struct(w.alias("word"), (~w.eqNullSafe(last) | w.isNull()).alias("new")),
+    )  # one element more than words: the last marks the end
     starts = F.filter(
-        F.transform(
-            F.zip_with(ordered, before, lambda w, last: F.struct(w.alias("word"), (~w.eqNullSafe(last) | w.isNull()).alias("new"))),
-            lambda x, i: F.struct(x["word"].alias("word"), x["new"].alias("new"), i.alias("at")),
-        ),
-        lambda x: x["new"],
+        F.transform("runs", lambda x, i: F.struct(x["word"].alias("word"), x["new"].alias("new"), i.alias("at"))), lambda x: x["new"]
     )
-    return F.filter(
-        F.zip_with(
-            starts, F.slice(starts, F.lit(2), F.size(starts)), lambda x, y: F.struct(x["word"].alias("word"), (y["at"] - x["at"]).cast("long").alias("cnt"))
-        ),
-        lambda x: x["word"].isNotNull(),
+    lengths = F.zip_with(
+        F.slice("starts", F.lit(1), F.size("starts") - 1),
+        F.slice("starts", F.lit(2), F.size("starts")),
+        lambda x, y: F.struct(x["word"].alias("word"), (y["at"] - x["at"]).cast("long").alias("cnt")),
     )
+    steps = rows.withColumn("ordered", F.sort_array("words")).withColumn("runs", runs).withColumn("starts", starts)
+    return steps.withColumn("counts", lengths).drop("ordered", "runs", "starts")
 
 
 @dataclass
@@ -98,10 +100,8 @@ class Corpus:
         """(class_id, n_members, n_tokens, counts): one row per clean text; counts is array<struct<word, cnt>>."""
         first = self._groups.select(F.col("class_id").alias("id"), "n_members")
         words = self._hashed.select("id", tokens(F.col("clean")).alias("words"))
-        return stored(
-            words.join(first, "id").select(F.col("id").alias("class_id"), "n_members", F.size("words").alias("n_tokens"), _counted_words(F.col("words")).alias("counts")),
-            "class-words",
-        )
+        counted = _counted_words(words.join(first, "id"))
+        return stored(counted.select(F.col("id").alias("class_id"), "n_members", F.size("words").alias("n_tokens"), "counts"), "class-words")
 
     @cached_property
     def freq(self) -> DataFrame:
@@ -159,9 +159,15 @@ def membership(clean: DataFrame | Corpus) -> DataFrame:
 def doc_freq(clean: DataFrame | Corpus) -> DataFrame:
     """(word, df, idf): texts that hold the word; idf = ln(N / (1 + df)), not smoothed.
 
-    Counted over classes weighted by their members, which equals counting texts.
+    A corpus counts its classes weighted by their members, which equals counting texts.
     """
-    return prepare(clean).freq.select("word", "df", "idf")
+    if isinstance(clean, Corpus):
+        return clean.freq.select("word", "df", "idf")
+    df = clean.select(F.explode(F.array_distinct(tokens(F.col("clean")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    total = clean.agg(F.count(F.lit(1)).cast("double").alias("n_texts"))
+    return df.crossJoin(F.broadcast(total)).select(  # one row
+        "word", "df", F.log(F.col("n_texts") / (F.lit(1.0) + F.col("df"))).alias("idf")
+    )
 
 
 def weights(clean: DataFrame | Corpus) -> DataFrame:
