@@ -2,13 +2,15 @@
 
 Texts with equal clean text are one class; pairs are formed between classes, so
 copies never multiply, and membership is its own table. As cosine is at most 1,
-the score needs a Jaccard of at least (threshold - 0.4) / 0.6, and two such
-sets share a word of their rarest-first prefix, so only prefix words are
-joined. A signature of each set (a bit per word, of 512) and the place of the
-shared word drop most pairs within the join, before any list of words moves.
-For thresholds that leave no bound the prefix is the whole set. A word that
-many prefixes share is split into groups of rows, and each pair of groups has a
-key of its own.
+the score needs a Jaccard J of at least (threshold - 0.4) / 0.6, so two such
+sets differ in at most (1 - J) / (1 + J) of their words. Either they share a
+rare word, which is a key, or all their rare words are differences, and few
+are left for the common words: these are dealt into groups, of which some must
+be equal, so each set's most telling groups are keys too (a prefix filter on
+groups). The few sets whose rare words leave more room than ``limit`` are
+compared with all. Sketches of 128 bits drop most pairs where they meet,
+before any list of words moves. What is left is compared exactly; no cap drops
+a pair. Keys that very many sets share are spread over several.
 
 ``prepare`` reads the texts once; every function here takes its result or the
 texts themselves. A text or word that a third of all rows have is spread in
@@ -26,17 +28,27 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aulamill.functions.text import clean_text, tokens
-from aulamill.operators.work import digest, join_skewed, stored
+from aulamill.operators.work import digest, free_shuffles, join_skewed, stored
 
 COSINE_SHARE = 0.4
-#: 64-bit numbers in a signature.
-SIGNS = [f"sign{i}" for i in range(8)]
-#: Rows of one prefix word that meet in a key.
-GROUP = 512
+#: A word is rare up to so many classes; more where the common ones would be above MOST_COMMON.
+RARE, MOST_COMMON = 200, 1_000_000
+#: The limit of slack is this quantile of a sample; it only steers the work, never the result.
+SLACK_SHARE, SAMPLE = 0.998, 64
+#: A key that more sets share is spread.
+HOT = 20_000
+#: Words whose frequencies are sent to the workers, and sets to compare that are broadcast; above, joins are shuffled.
+VOCABULARY, CHOSEN = 4_000_000, 2_000_000
+#: Numbers in a matrix that is held at once.
+CELLS = 1 << 21
+#: The size of a set in the lowest bits of its keys; sizes from FULL on are not compared there.
+SIZE_BITS = 16
+FULL = (1 << SIZE_BITS) - 1
 
 
 def cleaned(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -74,6 +86,133 @@ def _counted_words(rows: DataFrame) -> DataFrame:
     return steps.withColumn("counts", lengths).drop("ordered", "runs", "starts")
 
 
+def _hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of clean texts as sorted hashes, with their counts."""
+    import xxhash
+
+    for batch in batches:
+        n, texts = batch.num_rows, batch.column("clean")
+        lists = pc.split_pattern(texts, " ")
+        rows = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names)).view(np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        real = np.fromiter((w != "" for w in names), bool, len(names))[codes]
+        rows, words = rows[real], hashes[codes[real]]
+        n_tokens = np.bincount(rows, minlength=n)
+        order = np.lexsort((words, rows))
+        rows, words = rows[order], words[order]
+        first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (words[1:] != words[:-1]))[: len(rows)])
+        cnts = np.diff(np.append(first, len(rows))).astype(np.int32)
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(rows[first], minlength=n))).astype(np.int32))
+        made = [pa.array(n_tokens), pa.ListArray.from_arrays(ends, pa.array(words[first])), pa.ListArray.from_arrays(ends, pa.array(cnts))]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("nr", "class_id", "n_members", "hash")), *made],
+            ["nr", "class_id", "n_members", "hash", "n_tokens", "words", "cnts"],
+        )
+
+
+def _flat(batch: pa.RecordBatch, values: str = "cnts") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, value) of the lists of a batch."""
+    lists = batch.column("words")
+    rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return rows, lists.flatten().to_numpy(zero_copy_only=False), batch.column(values).flatten().to_numpy(zero_copy_only=False) if values else None
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass
+class Keys:
+    """Sketches and keys of sets of hashed words, for a Jaccard similarity; ``differ`` is its share of differences."""
+
+    jaccard: float
+    names: np.ndarray  # common words, sorted
+    told: np.ndarray  # how much each tells
+    limit: float = 0.0
+    hot: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # keys, and how many groups of rows each gets
+
+    @property
+    def differ(self) -> float:
+        return (1 - self.jaccard) / (1 + self.jaccard)
+
+    def measure(self, rows: np.ndarray, words: np.ndarray, n: int):
+        """(size, slack, whether it can be met by common words alone, and per word its place among the common ones or -1)."""
+        at = np.minimum(np.searchsorted(self.names, words), max(len(self.names) - 1, 0))
+        place = np.where(self.names[at] == words, at, -1) if len(self.names) else np.full(len(words), -1)
+        size = np.bincount(rows, minlength=n)
+        rare = np.bincount(rows[place < 0], minlength=n)
+        return size, size * self.differ - rare, (size > 0) & (size - rare >= size * self.jaccard - 1e-9), place
+
+    @staticmethod
+    def sketch(rows: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits, of which each word turns one: bits that differ are words that differ."""
+        bit = _mix(words.view(np.uint64)) >> np.uint64(57)
+        signs = np.zeros((2, n), np.uint64)
+        for i in range(2):
+            mine = (bit >> np.uint64(6)) == i
+            np.bitwise_xor.at(signs[i], rows[mine], np.uint64(1) << (bit[mine] & np.uint64(63)))
+        return signs[0].view(np.int64), signs[1].view(np.int64)
+
+    def keys(self, rows: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, key) of the sets within the limit."""
+        size, slack, grouped, place = self.measure(rows, words, n)
+        line = rows
+        easy = ~(grouped & (slack > self.limit))
+        rare = (place < 0) & easy[rows]
+        found = [(rows[rare], _mix(words[rare].view(np.uint64)))]
+        groups = int((int(2 * self.limit + 1e-9) + 1) * 1.15) + 1
+        most = np.floor(slack + self.limit + 1e-9).astype(np.int64)  # differences in common words
+        wanted = np.flatnonzero(easy & grouped & (most >= 0))
+        for mine in np.array_split(wanted, max(1, -(-len(wanted) * groups // CELLS))):
+            at = np.full(n, -1)
+            at[mine] = np.arange(len(mine))
+            ours = (place >= 0) & (at[rows] >= 0)
+            codes = words[ours].view(np.uint64)
+            cell = at[rows[ours]] * groups + ((_mix(codes) >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
+            sums, cells = np.zeros(len(mine) * groups, np.uint64), len(mine) * groups
+            np.add.at(sums, cell, _mix(codes ^ np.uint64(0x5DEECE66D)))
+            told = np.bincount(cell, weights=self.told[place[ours]], minlength=cells)
+            held = np.bincount(cell, minlength=cells) > 0
+            keys = _mix(sums + _mix(np.arange(cells, dtype=np.uint64) % np.uint64(groups) + np.uint64(1)))
+            # One order of all groups of all sets: the most telling first, empty ones last.
+            order = np.lexsort((keys, np.where(held, -told, np.inf), np.arange(cells) // groups)).reshape(-1, groups)
+            taken = order[np.arange(groups)[None, :] <= most[mine][:, None]]
+            found.append((mine[taken // groups], keys[taken]))
+        rows, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+        keys = (keys & ~np.uint64(FULL)).view(np.int64)
+        if len(self.hot[0]):
+            whole = np.zeros(n, np.uint64)  # a number of the set, the same for each of its keys
+            np.add.at(whole, line, _mix(words.view(np.uint64)))
+            at = np.minimum(np.searchsorted(self.hot[0], keys), len(self.hot[0]) - 1)
+            times = np.where(self.hot[0][at] == keys, self.hot[1][at], 1)
+            own = (_mix(whole[rows]) % times.astype(np.uint64)).astype(np.int64)
+            other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            rows, keys, own, times = (np.repeat(x, times) for x in (rows, keys, own, times))
+            pair = np.minimum(own, other) * times + np.maximum(own, other)
+            spread = (_mix(keys.view(np.uint64) + _mix(pair.astype(np.uint64))) & ~np.uint64(FULL)).view(np.int64)
+            keys = np.where(times > 1, spread, keys)
+        return rows, keys | np.minimum(size[rows], FULL)
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    """Bits set; numpy counts those of a signed number's absolute value."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
+def _meet(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], differ: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b``, each (sketch, sketch, size), of the pairs whose sketches allow the similarity."""
+    bits = _ones(a[0][:, None] ^ b[0][None, :]).astype(np.int16) + _ones(a[1][:, None] ^ b[1][None, :])
+    sizes = a[2][:, None] + b[2][None, :]
+    return np.nonzero(bits <= sizes * np.float32(differ) + np.float32(0.01))
+
+
 @dataclass
 class Corpus:
     """Texts brought to classes, word frequencies and vectors, each computed once and stored."""
@@ -82,33 +221,87 @@ class Corpus:
 
     @cached_property
     def _hashed(self) -> DataFrame:
-        """(id, hash, clean)."""
-        return stored(self.clean.select("id", digest("clean").alias("hash"), "clean"), "clean-texts")
+        """(id, hash)."""
+        return stored(self.clean.select("id", digest("clean").alias("hash")), "text-hashes")
+
+    @property
+    def _distinct(self) -> DataFrame:
+        return self.clean.groupBy("clean").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
+
+    @cached_property
+    def sets(self) -> DataFrame:
+        """(nr, class_id, n_members, hash, n_tokens, words, cnts): one row per clean text; words are sorted 64-bit hashes."""
+        rows = self._distinct.select(F.monotonically_increasing_id().alias("nr"), "class_id", "n_members", digest("clean").alias("hash"), "clean")
+        kind = rows.schema["class_id"].dataType.simpleString()
+        out = f"nr long, class_id {kind}, n_members long, hash binary, n_tokens long, words array<long>, cnts array<int>"
+        found = stored(rows.mapInArrow(_hashed_words, out), "word-sets")
+        free_shuffles(found.sparkSession)
+        return found
 
     @cached_property
     def _groups(self) -> DataFrame:
         """(hash, class_id, n_members, weight)."""
-        groups = self._hashed.groupBy("hash").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
-        return stored(groups.withColumn("weight", F.col("n_members")), "classes")
+        return self.sets.select("hash", "class_id", "n_members", F.col("n_members").alias("weight"))
 
     @cached_property
     def n_texts(self) -> int:
-        return self._groups.agg(F.coalesce(F.sum("n_members"), F.lit(0))).head()[0]
+        return self.sets.agg(F.coalesce(F.sum("n_members"), F.lit(0))).head()[0]
+
+    @cached_property
+    def word_counts(self) -> DataFrame:
+        """(word, df, n): texts and classes that hold the hashed word, of the words of several texts."""
+        words = self.sets.select("n_members", F.explode("words").alias("word")).groupBy("word")
+        found = stored(words.agg(F.sum("n_members").alias("df"), F.count(F.lit(1)).alias("n")).where("df > 1"), "word-counts")
+        free_shuffles(found.sparkSession)
+        return found
+
+    def valued(self, chosen: DataFrame) -> DataFrame:
+        """(nr, words, vals, norm) of rows of ``sets``: TF-IDF of each word, and the root of their squares' sum (null without words)."""
+        n, spark = float(self.n_texts), chosen.sparkSession
+        chosen = chosen.select("nr", "n_tokens", "words", "cnts")
+        if self.word_counts.count() > VOCABULARY:
+            long = chosen.select("nr", "n_tokens", F.explode(F.arrays_zip("words", "cnts")).alias("c")).select("nr", "n_tokens", "c.*")
+            counts = self.word_counts.select(F.col("word").alias("words"), "df", F.col("n").alias("weight"))
+            total = counts.agg(F.sum("weight")).head()[0]
+            idf = F.log(F.lit(n) / (F.lit(1.0) + F.coalesce("df", F.lit(1))))
+            once = long.join(counts.select("words"), "words", "left_anti").withColumn("df", F.lit(1).cast("long"))
+            several = join_skewed(long, counts, "words", "weight", total).select(*long.columns, "df")
+            items = several.unionByName(once).select("nr", F.struct("words", (F.col("cnts") / F.col("n_tokens") * idf).alias("v")).alias("x"))
+            lists = items.groupBy("nr").agg(F.collect_list("x").alias("x"), F.sqrt(F.sum(F.col("x.v") * F.col("x.v"))).alias("norm"))
+            return lists.select("nr", F.col("x.words").alias("words"), F.col("x.v").alias("vals"), "norm")
+        known = self.word_counts.select("word", "df").orderBy("word").toArrow()
+        sent = spark.sparkContext.broadcast((known["word"].to_numpy(), np.log(n / (1.0 + known["df"].to_numpy())) if n else np.zeros(0)))
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, idf = sent.value
+            for batch in batches:
+                rows, words, cnts = _flat(batch)
+                found = np.full(len(words), np.log(n / 2.0) if n else 0.0)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, words), len(names) - 1)
+                    found = np.where(names[at] == words, idf[at], found)
+                v = cnts / np.maximum(batch.column("n_tokens").to_numpy()[rows], 1) * found
+                norm = np.sqrt(np.bincount(rows, weights=v * v, minlength=batch.num_rows))
+                ends = pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=batch.num_rows))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (words, v)]
+                empty = np.bincount(rows, minlength=batch.num_rows) == 0
+                yield pa.RecordBatch.from_arrays([batch.column("nr"), *lists, pa.array(norm, mask=empty)], ["nr", "words", "vals", "norm"])
+
+        return chosen.mapInArrow(weigh, "nr long, words array<long>, vals array<double>, norm double")
 
     @cached_property
     def classes(self) -> DataFrame:
         """(class_id, n_members, n_tokens, counts): one row per clean text; counts is array<struct<word, cnt>>."""
-        first = self._groups.select(F.col("class_id").alias("id"), "n_members")
-        words = self._hashed.select("id", tokens(F.col("clean")).alias("words"))
-        counted = _counted_words(words.join(first, "id"))
-        return stored(counted.select(F.col("id").alias("class_id"), "n_members", F.size("words").alias("n_tokens"), "counts"), "class-words")
+        counted = _counted_words(self._distinct.withColumn("words", tokens(F.col("clean"))))
+        return stored(counted.select("class_id", "n_members", F.size("words").alias("n_tokens"), "counts"), "class-words")
 
     @cached_property
     def freq(self) -> DataFrame:
         """(word, df, idf, n_classes)."""
         words = self.classes.select("n_members", F.explode("counts").alias("c")).groupBy(F.col("c.word").alias("word"))
         counts = words.agg(F.sum("n_members").alias("df"), F.count(F.lit(1)).alias("n_classes"))
-        idf = F.log(F.lit(float(self.n_texts)) / (F.lit(1.0) + F.col("df")))
+        n_texts = self.classes.agg(F.coalesce(F.sum("n_members"), F.lit(0))).head()[0]
+        idf = F.log(F.lit(float(n_texts)) / (F.lit(1.0) + F.col("df")))
         return stored(counts.select("word", "df", idf.alias("idf"), "n_classes"), "word-frequencies")
 
     @cached_property
@@ -121,27 +314,6 @@ class Corpus:
             "class_id", "word", tf.alias("tf"), (tf * F.col("idf")).alias("tfidf"), "df"
         )
 
-    @cached_property
-    def vectors(self) -> DataFrame:
-        """(class_id, n, norm, signature, words): words is rarest first as array<struct<df, word, v>>, bounded by one text.
-
-        Words are 64-bit hashes here.
-        """
-        hashed = self.weights.select("class_id", F.xxhash64("word").alias("h"), "word", "tfidf", "df")
-        items = F.array_sort(F.collect_list(F.struct("df", F.col("h").alias("word"), F.col("tfidf").alias("v"))))
-        return stored(
-            hashed.groupBy("class_id").agg(
-                items.alias("words"),
-                F.count(F.lit(1)).alias("n"),
-                F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"),
-                *(
-                    F.bit_or(F.expr(f"if(pmod(h, {len(SIGNS)}) = {i}, shiftleft(1L, cast(shiftright(h, 8) & 63 as int)), 0L)")).alias(sign)
-                    for i, sign in enumerate(SIGNS)
-                ),
-            ),
-            "vectors",
-        )
-
 
 def prepare(clean: DataFrame | Corpus) -> Corpus:
     """The texts ``(id, clean)`` ready for any number of the functions below."""
@@ -175,63 +347,154 @@ def weights(clean: DataFrame | Corpus) -> DataFrame:
     return prepare(clean).weights
 
 
-def _prefix_length(n: Column, jaccard: float) -> Column:
-    if jaccard <= 0:
-        return n
-    return F.least(n, n - F.ceil(n * F.lit(jaccard) - 1e-9).cast("long") + 1)
-
-
-def candidate_pairs(vectors: DataFrame, jaccard: float) -> DataFrame:
-    """(a, b), a < b, of classes that can reach the Jaccard similarity."""
-    prefix = vectors.select(
-        F.col("class_id").alias("id"),
-        "n",
-        *SIGNS,
-        F.posexplode(F.slice("words", F.lit(1), _prefix_length(F.col("n"), jaccard).cast("int"))).alias("pos", "w"),
-    ).select("id", "n", *SIGNS, "pos", "w.word")
-    counts = stored(prefix.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).withColumn("weight", F.col("rows")), "prefix-words")
-    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).head()[0]
-    # Words of one prefix meet nothing. Rows of a word lie in groups, and a pair of groups is a key.
-    shared = join_skewed(prefix, counts.where("rows > 1"), "word", "weight", total)
-    groups = F.ceil(F.col("rows") / GROUP).cast("int")
-    shared = shared.withColumn("own", F.pmod(F.xxhash64("id"), groups).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), groups - 1))
-    )
-    keyed = shared.select("id", "n", *SIGNS, "pos", "word", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", *SIGNS, "pos")]
-    a = keyed.where("own = p").select(*side("a"), "word", "p", "q")
-    b = keyed.where("own = q").select(*side("b"), "word", "p", "q")
-    # Bits that differ are words that differ: |A xor B| is at most (1-J)/(1+J) of |A|+|B|.
-    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNS), F.lit(0))
-    most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - max(jaccard, 0)) / (1 + max(jaccard, 0))) + 1e-9
-    # What is left behind the shared word bounds the overlap (positions count from the rarest).
-    left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    needed = (F.col("n_a") + F.col("n_b")) * F.lit(max(jaccard, 0) / (1 + max(jaccard, 0))) - 1e-9
-    once = (F.col("id_a") < F.col("id_b")) | ((F.col("p") < F.col("q")) & (F.col("id_a") > F.col("id_b")))
-    return (
-        a.join(b, ["word", "p", "q"])
-        .where(once & (differ <= most) & (F.least("pos_a", "pos_b") + left >= needed))
-        .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
-        .distinct()
-    )
-
+def candidate_pairs(corpus: Corpus, jaccard: float) -> DataFrame:
+    """(a, b), a < b, of the numbers of classes that can reach the Jaccard similarity, if they share a word."""
+    sets, spark = corpus.sets.select("nr", "words"), corpus.sets.sparkSession
+    jaccard = max(jaccard, 1e-6)
+    n_words = corpus.word_counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    common = corpus.word_counts.where(F.col("n") > max(RARE, n_words // MOST_COMMON)).select("word", "n").orderBy("word").toArrow()
+    n_sets = sets.count()
+    made = Keys(jaccard, common["word"].to_numpy(), np.log((n_sets + 1.0) / common["n"].to_numpy()))
+    sent = spark.sparkContext.broadcast(made)
+    some = sets if n_sets < SAMPLE * 1000 else sets.where(F.pmod(F.xxhash64("nr"), F.lit(SAMPLE)) == 0)
 
-def _scored(pairs: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
+    def slacks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, words, _ = _flat(batch, "")
+            _, slack, grouped, _ = sent.value.measure(rows, words, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ceil(slack[grouped] * 10).astype(np.int64))], ["tenth"])
+
+    tenths = sorted(map(tuple, some.mapInArrow(slacks, "tenth long").groupBy("tenth").count().collect()))  # up to the longest text's
+    seen, total, limit = 0, sum(n for _, n in tenths), 10
+    for tenth, n in tenths:
+        if seen < total * SLACK_SHARE:
+            limit = max(10, tenth)
+        seen += n
+    made.limit = limit / 10
+    sent = spark.sparkContext.broadcast(made)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, words, _ = _flat(batch, "")
+            at, keys = sent.value.keys(rows, words, batch.num_rows)
+            signs = sent.value.sketch(rows, words, batch.num_rows)
+            nrs = batch.column("nr").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, nrs[at], signs[0][at], signs[1][at])], ["key", "nr", "s", "t"])
+
+    kinds = "key long, nr long, s long, t long"
+    if n_sets > HOT:
+        part = F.col("key").bitwiseAND(F.lit(~FULL)).alias("key")
+        scale = 1 if n_sets < SAMPLE * 1000 else SAMPLE
+        counts = some.mapInArrow(cut, kinds).select(part).groupBy("key").agg((F.count(F.lit(1)) * scale).alias("n"))
+        least = max(HOT, n_sets // 50)
+        hot = sorted(map(tuple, counts.where(F.col("n") > least).collect()))  # few: a set has some tens of keys
+        if hot:
+            keys, n = np.array(hot, np.int64).T
+            made.hot = keys, -(-n // least) + 1
+            sent = spark.sparkContext.broadcast(made)
+
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of rows of one key; rows come in the order of keys, so a key's lie together."""
+        rest = None
+        for batch in batches:
+            block = [batch.column(c).to_numpy() for c in ("key", "nr", "s", "t")]
+            if rest is not None:
+                block = [np.concatenate(x) for x in zip(rest, block, strict=True)]
+            key = block[0] >> SIZE_BITS
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # its rows may go on
+            rest = [x[last:] for x in block]
+            yield from _pairs_of(*(x[:last] for x in block), sent.value.differ)
+        if rest is not None:
+            yield from _pairs_of(*rest, sent.value.differ)
+
+    keyed = sets.mapInArrow(cut, kinds).repartition(F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
+    near = keyed.mapInArrow(pair_up, "a long, b long")
+
+    def hard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, words, _ = _flat(batch, "")
+            size, slack, grouped, _ = sent.value.measure(rows, words, batch.num_rows)
+            keep = pa.array(grouped & (slack > sent.value.limit))
+            signs = sent.value.sketch(rows, words, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column("nr"), *map(pa.array, (*signs, size)))], ["nr", "s", "t", "n"])
+
+    roomy = [c.to_numpy() for c in sets.mapInArrow(hard, "nr long, s long, t long, n long").toArrow().columns]  # a share of 1 - SLACK_SHARE
+    if len(roomy[0]):
+        others = spark.sparkContext.broadcast(roomy)
+
+        def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            other, *signs_b = others.value
+            step = max(1, CELLS // 8 // len(other))
+            for batch in batches:
+                rows, words, _ = _flat(batch, "")
+                nrs, mine = batch.column("nr").to_numpy(), (*sent.value.sketch(rows, words, batch.num_rows), np.bincount(rows, minlength=batch.num_rows))
+                for x in range(0, len(nrs), step):
+                    i, j = _meet(tuple(c[x : x + step] for c in mine), signs_b, sent.value.differ)
+                    a, b = nrs[x + i], other[j]
+                    keep = a != b
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
+
+        near = near.union(sets.mapInArrow(against, "a long, b long"))
+    found = stored(near.distinct(), "candidates")
+    free_shuffles(spark)
+    return found
+
+
+def _pairs_of(key: np.ndarray, nr: np.ndarray, s: np.ndarray, t: np.ndarray, differ: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows of equal keys, in blocks of bounded size."""
+    size, key = key & FULL, key >> SIZE_BITS
+    size = np.where(size == FULL, 1 << 30, size)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    n = np.diff(np.append(first, len(key)))
+    out_a, out_b = [], []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        other = nr[i] != nr[j]
+        i, j = i[other], j[other]
+        out_a.append(np.minimum(nr[i], nr[j]))
+        out_b.append(np.maximum(nr[i], nr[j]))
+
+    # Small keys together, one distance of rows after the other; large ones as matrices.
+    small = np.repeat(n <= 24, n)
+    ks, at = key[small], np.flatnonzero(small)
+    for step in range(1, 24):
+        i = np.flatnonzero(ks[:-step] == ks[step:])
+        if not len(i):
+            break
+        i, j = at[i], at[i + step]
+        bits = _ones(s[i] ^ s[j]).astype(np.int16) + _ones(t[i] ^ t[j])
+        ok = bits <= (size[i] + size[j]) * differ + 0.01
+        keep(i[ok], j[ok])
+    for begin, many in zip(first[n > 24].tolist(), n[n > 24].tolist(), strict=True):
+        end, step = begin + many, max(1, min(many, CELLS // 8 // many)) if many < CELLS // 8 else 1
+        for x in range(begin, end, step):
+            for y in range(x, end, CELLS // 8):
+                rows, cols = slice(x, min(x + step, end)), slice(y, min(y + CELLS // 8, end))
+                i, j = _meet((s[rows], t[rows], size[rows]), (s[cols], t[cols], size[cols]), differ)
+                i, j = i + x, j + y
+                keep(i[i < j], j[i < j])
+        if sum(map(len, out_a)) > 100_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
+            out_a.clear()
+            out_b.clear()
+    if out_a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
+
+
+def _scored(pairs: DataFrame, corpus: Corpus, floor: float) -> DataFrame:
     """(a, b, jaccard, cosine) of pairs at or above the Jaccard ``floor``: both lists are merged, in time linear in their words."""
-    sides = {
-        x: vectors.select(
-            F.col("class_id").alias(x), F.col("norm").alias(f"norm_{x}"),
-            F.transform("words", lambda w: w["word"]).alias(f"words_{x}"), F.transform("words", lambda w: w["v"]).alias(f"values_{x}"),
-        )
-        for x in "ab"
-    }
-    kind = pairs.schema["a"].dataType.simpleString()
+    chosen = pairs.select(F.col("a").alias("nr")).union(pairs.select("b")).distinct()
+    few = pairs.count() <= CHOSEN // 2
+    valued = corpus.valued(corpus.sets.join(F.broadcast(chosen) if few else chosen, "nr", "left_semi"))
+    vectors = stored(valued, "vectors")
+    free_shuffles(pairs.sparkSession)
+    sides = {x: vectors.select(F.col("nr").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("norm", "words", "vals"))) for x in "ab"}
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = {}
             for x in "ab":
-                lists, values = batch.column(f"words_{x}"), batch.column(f"values_{x}")
+                lists, values = batch.column(f"words_{x}"), batch.column(f"vals_{x}")
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 rows = np.repeat(np.arange(batch.num_rows), sizes)
                 flat[x] = rows, lists.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False), sizes
@@ -244,11 +507,11 @@ def _scored(pairs: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
             norms = batch.column("norm_a").to_numpy(zero_copy_only=False) * batch.column("norm_b").to_numpy(zero_copy_only=False)
             jaccard = common / np.maximum(flat["a"][3] + flat["b"][3] - common, 1)
             cosine = np.divide(dot, norms, out=np.zeros(len(dot)), where=norms != 0)
-            keep = pa.array(jaccard >= floor)
+            keep = pa.array((jaccard >= floor) & (common > 0))
             found = [batch.column("a"), batch.column("b"), pa.array(jaccard), pa.array(cosine)]
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in found], ["a", "b", "jaccard", "cosine"])
 
-    return pairs.join(sides["a"], "a").join(sides["b"], "b").mapInArrow(merge, f"a {kind}, b {kind}, jaccard double, cosine double")
+    return pairs.join(sides["a"], "a").join(sides["b"], "b").mapInArrow(merge, "a long, b long, jaccard double, cosine double")
 
 
 def similar_pairs(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFrame:
@@ -258,22 +521,29 @@ def similar_pairs(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFra
     their own score (1, or 0.6 where all their words weigh 0); see ``copies``.
     """
     floor = (threshold - COSINE_SHARE) / (1 - COSINE_SHARE)
-    vectors = prepare(clean).vectors
-    scored = _scored(candidate_pairs(vectors, floor), vectors, floor - 1e-9)
-    return (
-        scored.withColumn("similarity", F.col("cosine") * COSINE_SHARE + F.col("jaccard") * (1 - COSINE_SHARE))
-        .where(F.col("similarity") >= threshold)
-        .select("a", "b", "jaccard", "cosine", "similarity")
-    )
+    corpus = prepare(clean)
+    scored = _scored(candidate_pairs(corpus, floor), corpus, floor - 1e-9)
+    similarity = F.col("cosine") * COSINE_SHARE + F.col("jaccard") * (1 - COSINE_SHARE)
+    found = stored(scored.withColumn("similarity", similarity).where(F.col("similarity") >= threshold), "scored")
+    free_shuffles(found.sparkSession)
+    # Numbers to ids; a class in very many pairs is spread by the skew handling of the shuffled join.
+    named = corpus.sets.select("nr", "class_id")
+    for x in "ab":
+        counts = found.groupBy(x).agg(F.count(F.lit(1)).alias("weight"))
+        total = found.count()
+        side = stored(named.join(F.broadcast(counts) if total <= CHOSEN else counts, F.col("nr") == F.col(x)).select(x, F.col("class_id").alias(f"id_{x}"), "weight"), "names")
+        found = join_skewed(found, side, x, "weight", total)
+    ids = (F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    return found.select(*ids, "jaccard", "cosine", "similarity")
 
 
 def class_scores(clean: DataFrame | Corpus) -> DataFrame:
     """(class_id, n_members, similarity) of classes with several members: what two of its copies score."""
     corpus = prepare(clean)
+    several = corpus.sets.where("n_members > 1")
     return (
-        corpus._groups.where("n_members > 1")
-        .select("class_id", "n_members")
-        .join(corpus.vectors.select("class_id", "norm"), "class_id", "left")
+        several.select("nr", "class_id", "n_members")
+        .join(corpus.valued(several).select("nr", "norm"), "nr", "left")
         .select(
             "class_id",
             "n_members",
