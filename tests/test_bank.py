@@ -2,9 +2,11 @@
 
 import json
 import math
+import random
 import re
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 
@@ -39,6 +41,28 @@ TEXTS = {
 }
 
 
+@pytest.mark.parametrize(("threshold", "hot", "share"), [(0.85, 20_000, 0.998), (0.85, 20, 0.998), (0.7, 20_000, 0.5), (0.55, 50, 0.9)])
+def test_similar_among_common_words(spark, tmp_path, monkeypatch, threshold, hot, share):
+    """Texts of few words that all share: nothing but their combinations tells; few bytes are stored for them."""
+    monkeypatch.setattr(similar, "HOT", hot, raising=False)
+    monkeypatch.setattr(similar, "SLACK_SHARE", share, raising=False)
+    draw, texts = random.Random(5), {}
+    for i in range(600):
+        words = draw.sample([f"w{k}" for k in range(50)], 24)
+        texts[2 * i] = " ".join([*words, f"own{i}"] if i % 3 == 0 else words)
+        texts[2 * i + 1] = " ".join([*words[draw.randrange(4) :], *[f"pair{i % 150}"] * (i % 3 == 1), *draw.sample(words, 2)])
+    monkeypatch.setattr(similar, "RARE", 20, raising=False)
+    _, want = brute_similar(texts, threshold)
+    path = str(tmp_path / "texts")
+    spark.createDataFrame(list(texts.items()), "id long, text string").write.parquet(path)
+    stored_bytes = lambda: sum(f.stat().st_size for f in Path(work.work_root(spark).removeprefix("file:")).rglob("*.parquet") if f.is_file())
+    before = stored_bytes()
+    got = {(r.a, r.b): r.similarity for r in similar.similar_pairs(similar.cleaned(spark.read.parquet(path), "id", "text"), threshold).collect()}
+    assert len(want) > 100 and got == pytest.approx(want)
+    if threshold == 0.85:
+        assert stored_bytes() - before < 5 * sum(f.stat().st_size for f in (tmp_path / "texts").rglob("*.parquet"))
+
+
 @pytest.mark.parametrize("threshold", [0.85, 0.7, 0.5, 0.3])
 def test_similar_equals_all_pairs(spark, threshold):
     rows = spark.createDataFrame([*TEXTS.items(), (10, None)], "id long, text string")
