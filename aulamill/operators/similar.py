@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aulamill.functions.text import clean_text, tokens
-from aulamill.operators.work import digest, free_shuffles, join_skewed, stored
+from aulamill.operators.work import Passing, digest, free_shuffles, join_skewed, stored
 
 COSINE_SHARE = 0.4
 #: A word is rare up to so many classes; more where the common ones would be above MOST_COMMON.
@@ -44,6 +44,8 @@ SLACK_SHARE, SAMPLE = 0.998, 64
 HOT = 20_000
 #: Words whose frequencies are sent to the workers, and sets to compare that are broadcast; above, joins are shuffled.
 VOCABULARY, CHOSEN = 4_000_000, 2_000_000
+#: From so many sets on, keys are met in this many rounds, so that not all of them are on disk at once; each cuts the keys anew.
+ROUNDS, ROUNDS_FROM = 2, 100_000
 #: Numbers in a matrix that is held at once.
 CELLS = 1 << 21
 #: The size of a set in the lowest bits of its keys; sizes from FULL on are not compared there.
@@ -219,6 +221,16 @@ class Corpus:
 
     clean: DataFrame  # id, clean
 
+    @cached_property
+    def _tables(self) -> Passing:
+        return Passing(self.clean.sparkSession)
+
+    def drop(self) -> None:
+        """Delete the tables of word sets once nothing reads them; they are made anew if they are asked for again."""
+        self._tables.drop()
+        for name in ("sets", "word_counts", "_groups"):
+            self.__dict__.pop(name, None)
+
     @cached_property
     def _hashed(self) -> DataFrame:
         """(id, hash)."""
@@ -234,7 +246,7 @@ class Corpus:
         rows = self._distinct.select(F.monotonically_increasing_id().alias("nr"), "class_id", "n_members", digest("clean").alias("hash"), "clean")
         kind = rows.schema["class_id"].dataType.simpleString()
         out = f"nr long, class_id {kind}, n_members long, hash binary, n_tokens long, words array<long>, cnts array<int>"
-        found = stored(rows.mapInArrow(_hashed_words, out), "word-sets")
+        found = self._tables.keep(rows.mapInArrow(_hashed_words, out), "word-sets")
         free_shuffles(found.sparkSession)
         return found
 
@@ -251,7 +263,7 @@ class Corpus:
     def word_counts(self) -> DataFrame:
         """(word, df, n): texts and classes that hold the hashed word, of the words of several texts."""
         words = self.sets.select("n_members", F.explode("words").alias("word")).groupBy("word")
-        found = stored(words.agg(F.sum("n_members").alias("df"), F.count(F.lit(1)).alias("n")).where("df > 1"), "word-counts")
+        found = self._tables.keep(words.agg(F.sum("n_members").alias("df"), F.count(F.lit(1)).alias("n")).where("df > 1"), "word-counts")
         free_shuffles(found.sparkSession)
         return found
 
@@ -347,8 +359,8 @@ def weights(clean: DataFrame | Corpus) -> DataFrame:
     return prepare(clean).weights
 
 
-def candidate_pairs(corpus: Corpus, jaccard: float) -> DataFrame:
-    """(a, b), a < b, of the numbers of classes that can reach the Jaccard similarity, if they share a word."""
+def candidate_pairs(corpus: Corpus, jaccard: float, passing: Passing) -> DataFrame:
+    """(a, b), a < b, of the numbers of classes that can reach the Jaccard similarity, if they share a word; kept in ``passing``."""
     sets, spark = corpus.sets.select("nr", "words"), corpus.sets.sparkSession
     jaccard = max(jaccard, 1e-6)
     n_words = corpus.word_counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
@@ -373,10 +385,13 @@ def candidate_pairs(corpus: Corpus, jaccard: float) -> DataFrame:
     made.limit = limit / 10
     sent = spark.sparkContext.broadcast(made)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], turn: int = 0, rounds: int = 1) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, words, _ = _flat(batch, "")
             at, keys = sent.value.keys(rows, words, batch.num_rows)
+            if rounds > 1:
+                mine = (keys >> SIZE_BITS) % rounds == turn
+                at, keys = at[mine], keys[mine]
             signs = sent.value.sketch(rows, words, batch.num_rows)
             nrs = batch.column("nr").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, nrs[at], signs[0][at], signs[1][at])], ["key", "nr", "s", "t"])
@@ -407,8 +422,14 @@ def candidate_pairs(corpus: Corpus, jaccard: float) -> DataFrame:
         if rest is not None:
             yield from _pairs_of(*rest, sent.value.differ)
 
-    keyed = sets.mapInArrow(cut, kinds).repartition(F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
-    near = keyed.mapInArrow(pair_up, "a long, b long")
+    rounds, parts = ROUNDS if n_sets >= ROUNDS_FROM else 1, Passing(spark)
+    for turn in range(rounds):
+        keyed = sets.mapInArrow(partial(cut, turn=turn, rounds=rounds), kinds).repartition(F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
+        part = keyed.mapInArrow(pair_up, "a long, b long")
+        if rounds > 1:
+            part = parts.keep(part.distinct(), "near")
+            free_shuffles(spark)
+        near = near.union(part) if turn else part
 
     def hard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,8 +456,8 @@ def candidate_pairs(corpus: Corpus, jaccard: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
 
         near = near.union(sets.mapInArrow(against, "a long, b long"))
-    found = stored(near.distinct(), "candidates")
-    free_shuffles(spark)
+    found = passing.keep(near.distinct(), "candidates")
+    parts.drop()
     return found
 
 
@@ -481,12 +502,12 @@ def _pairs_of(key: np.ndarray, nr: np.ndarray, s: np.ndarray, t: np.ndarray, dif
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
 
 
-def _scored(pairs: DataFrame, corpus: Corpus, floor: float) -> DataFrame:
+def _scored(pairs: DataFrame, corpus: Corpus, floor: float, passing: Passing) -> DataFrame:
     """(a, b, jaccard, cosine) of pairs at or above the Jaccard ``floor``: both lists are merged, in time linear in their words."""
     chosen = pairs.select(F.col("a").alias("nr")).union(pairs.select("b")).distinct()
     few = pairs.count() <= CHOSEN // 2
     valued = corpus.valued(corpus.sets.join(F.broadcast(chosen) if few else chosen, "nr", "left_semi"))
-    vectors = stored(valued, "vectors")
+    vectors = passing.keep(valued, "vectors")
     free_shuffles(pairs.sparkSession)
     sides = {x: vectors.select(F.col("nr").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("norm", "words", "vals"))) for x in "ab"}
 
@@ -522,10 +543,11 @@ def similar_pairs(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFra
     """
     floor = (threshold - COSINE_SHARE) / (1 - COSINE_SHARE)
     corpus = prepare(clean)
-    scored = _scored(candidate_pairs(corpus, floor), corpus, floor - 1e-9)
+    passing = Passing(corpus.clean.sparkSession)
+    scored = _scored(candidate_pairs(corpus, floor, passing), corpus, floor - 1e-9, passing)
     similarity = F.col("cosine") * COSINE_SHARE + F.col("jaccard") * (1 - COSINE_SHARE)
     found = stored(scored.withColumn("similarity", similarity).where(F.col("similarity") >= threshold), "scored")
-    free_shuffles(found.sparkSession)
+    passing.drop()
     # Numbers to ids; a class in very many pairs is spread by the skew handling of the shuffled join.
     named = corpus.sets.select("nr", "class_id")
     for x in "ab":
@@ -533,6 +555,7 @@ def similar_pairs(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFra
         total = found.count()
         side = stored(named.join(F.broadcast(counts) if total <= CHOSEN else counts, F.col("nr") == F.col(x)).select(x, F.col("class_id").alias(f"id_{x}"), "weight"), "names")
         found = join_skewed(found, side, x, "weight", total)
+    free_shuffles(corpus.clean.sparkSession)
     ids = (F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     return found.select(*ids, "jaccard", "cosine", "similarity")
 
@@ -559,6 +582,7 @@ def copies(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFrame:
     """(class_id, id, n_members, similarity): each copy of a class but the first, where copies are similar among themselves."""
     corpus = prepare(clean)
     scores = stored(class_scores(corpus).where(F.col("similarity") >= threshold).withColumn("weight", F.col("n_members")), "copies")
+    free_shuffles(scores.sparkSession)
     total = scores.agg(F.coalesce(F.sum("weight"), F.lit(0))).head()[0]
     rows = membership(corpus).where("n_members > 1 and id <> class_id").select("class_id", "id")
     return join_skewed(rows, scores, "class_id", "weight", total).select("class_id", "id", "n_members", "similarity")
@@ -591,6 +615,7 @@ def with_questions(pairs: DataFrame, questions: DataFrame, key: str = "question_
         side = questions.select(F.col(key).alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("filepath", "title", "type")))
         counts = rows.groupBy(name).agg(F.count(F.lit(1)).alias("weight"))
         named = stored(counts.join(side, name), f"side-{name}")
+        free_shuffles(named.sparkSession)
         total = named.agg(F.coalesce(F.sum("weight"), F.lit(0))).head()[0]
         return join_skewed(rows, named, name, "weight", total)
 

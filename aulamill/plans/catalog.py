@@ -496,7 +496,8 @@ def similar_named(spark: SparkSession, d: str) -> DataFrame:
     corpus = similar.prepare(_clean_questions(spark, d))
     pairs = similar.similar_pairs(corpus).select("a", "b", "similarity")
     copies = similar.copies(corpus).select(F.col("class_id").alias("a"), F.col("id").alias("b"), "similarity")
-    rounded = pairs.unionByName(copies).withColumn("similarity", F.round("similarity", 6))
+    rounded = stored(pairs.unionByName(copies).withColumn("similarity", F.round("similarity", 6)), "pairs")
+    corpus.drop()
     return similar.with_questions(rounded, _questions(spark, d))
 
 

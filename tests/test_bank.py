@@ -285,3 +285,32 @@ def test_commands(spark, tmp_path):
     assert [r.n_changes for r in commands.xml_cdata(spark, path).collect()] == [1]
     assert [r.n_changes for r in commands.xml_without_tags(spark, path).collect()] == [1]
     assert new(commands.xml_names(spark, path)) == ["n_m.xml"]
+
+
+@pytest.fixture
+def left(spark):
+    """Runs a function; gives its result and the names of the working tables that it leaves on disk."""
+
+    def run(function, *args):
+        folder = Path(work.new_path(spark, "x").removeprefix("file:")).parent
+        before = set(folder.iterdir())
+        return function(*args), {p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before}
+
+    return run
+
+
+def test_tables_left_by_named_pairs(spark, tmp_path, monkeypatch, left):
+    """Keys met in rounds give the same pairs, and what they were made of is off the disk before pairs get their names."""
+    monkeypatch.setattr(similar, "ROUNDS_FROM", 0, raising=False)
+    monkeypatch.setattr(similar, "ROUNDS", 3, raising=False)
+    _, want = brute_similar(TEXTS, 0.85)
+    rows = [(k, f"f{k}", "Short", t, "", [], None) for k, t in TEXTS.items()]
+    kind = "question_id long, filepath string, qtype string, title string, t string, tags array<string>, match_pairs array<struct<subquestion struct<fmt string, text string>, subanswer string>>"
+    made = spark.createDataFrame(rows, kind).selectExpr(
+        "question_id", "filepath", "1 as ordinal", "qtype", "title", "named_struct('fmt', 'html', 'text', t) as stem", "tags", "match_pairs",
+        "cast(null as array<struct<is_correct: boolean, weight: double, text: struct<fmt: string, text: string>, feedback: struct<fmt: string, text: string>>>) as choices",
+    )
+    made.write.parquet(str(tmp_path / "questions.parquet"))
+    found, tables = left(catalog.similar_named, spark, str(tmp_path))
+    assert {(r.a, r.b) for r in found.collect()} == set(want)
+    assert not tables & {"word-sets", "word-counts", "near", "candidates", "vectors"}
