@@ -592,7 +592,8 @@ def links(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFrame:
     """(id, class_id, n_links): for each text its class and the number of texts it is similar to."""
     corpus = prepare(clean)
     pairs = stored(similar_pairs(corpus, threshold).select("a", "b"), "similar-pairs")
-    sizes = corpus._groups.select("class_id", "n_members")
+    free_shuffles(pairs.sparkSession)
+    sizes = corpus._groups.select("hash", "class_id", "n_members")
     both = pairs.union(pairs.select("b", "a")).toDF("class_id", "other")
     outside = (
         both.join(sizes.select(F.col("class_id").alias("other"), "n_members"), "other")
@@ -604,8 +605,16 @@ def links(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFrame:
     )
     per_class = sizes.join(outside, "class_id", "left").join(inside, "class_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    counted = stored(per_class.select("class_id", F.col("n_members").alias("weight"), (zero("outside") + zero("inside")).alias("n_links")), "links")
-    return join_skewed(membership(corpus).select("id", "class_id"), counted, "class_id", "weight", corpus.n_texts)
+    counted = stored(
+        per_class.select("hash", "class_id", F.col("n_members").alias("weight"), (zero("outside") + zero("inside")).alias("n_links")), "links"
+    )
+    # A text finds its class and the class's number by one join on the content's hash.
+    texts, total = corpus._hashed, corpus.n_texts
+    if corpus is clean:
+        free_shuffles(pairs.sparkSession)
+    else:
+        corpus.drop()
+    return join_skewed(texts, counted, "hash", "weight", total).select("id", "class_id", "n_links")
 
 
 def with_questions(pairs: DataFrame, questions: DataFrame, key: str = "question_id") -> DataFrame:

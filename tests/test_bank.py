@@ -314,3 +314,33 @@ def test_tables_left_by_named_pairs(spark, tmp_path, monkeypatch, left):
     found, tables = left(catalog.similar_named, spark, str(tmp_path))
     assert {(r.a, r.b) for r in found.collect()} == set(want)
     assert not tables & {"word-sets", "word-counts", "near", "candidates", "vectors"}
+
+
+def test_tables_left_by_links(spark, left):
+    """Texts get their links after the tables that these were counted from are off the disk; a prepared corpus keeps its own."""
+    table = similar.cleaned(spark.createDataFrame([*TEXTS.items(), (10, None)], "id long, text string"), "id", "text")
+    clean, want = brute_similar(TEXTS, 0.85)
+    found, tables = left(similar.links, table)
+    assert {r.id: r.n_links for r in found.collect()} == {k: sum(k in p for p in want) for k in clean}
+    assert not tables & {"word-sets", "word-counts", "near", "candidates", "vectors"}
+    corpus = similar.prepare(table)
+    assert similar.links(corpus).count() == len(clean) and corpus.sets.count() == 7
+
+
+def test_shuffle_files_of_the_last_job_are_freed(spark):
+    """Also those of the job that ended just before."""
+    import time
+
+    folders = [Path(str(f)) for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    n_bytes = lambda: sum(p.stat().st_size for f in folders for p in f.rglob("shuffle_*.data") if p.exists())
+    work.free_shuffles(spark)
+    time.sleep(1)
+    before = n_bytes()
+    work.stored(spark.range(1_000_000).selectExpr("xxhash64(id) as h").repartition(4, "h"), "freed")
+    assert n_bytes() > before + 1_000_000
+    work.free_shuffles(spark)
+    for _ in range(50):
+        if n_bytes() <= before:
+            break
+        time.sleep(0.1)
+    assert n_bytes() <= before
