@@ -98,7 +98,9 @@ class Bank:
         sided = self.pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
         between = sided.agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0))).head()[0]
         # Of n copies, n - 1 are listed; each stands for n / 2 pairs.
-        return between + int(self.copies.agg(F.coalesce(F.sum("n_members"), F.lit(0)) / 2).head()[0])
+        inside = int(self.copies.agg(F.coalesce(F.sum("n_members"), F.lit(0)) / 2).head()[0])
+        self.corpus.drop()  # pairs and copies are stored, and the rest of the report reads only those
+        return between + inside
 
     @cached_property
     def duplicates(self) -> DataFrame:

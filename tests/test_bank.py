@@ -344,3 +344,13 @@ def test_shuffle_files_of_the_last_job_are_freed(spark):
             break
         time.sleep(0.1)
     assert n_bytes() <= before
+
+
+def test_tables_left_by_duplicates(spark, left):
+    """Once the duplicates are counted, their word sets are off the disk, and the rows still come out."""
+    rows = [("a.gift", True, None, "::T:: Q one two three {=a}\n\n::T:: Q one two three {=a}\n\n::U:: Other words here {=b}\n\n::V:: Four more {=c}\n\n::W:: Nothing alike {=d}")]
+    files = spark.createDataFrame(rows, "filepath string, success boolean, error string, content string")
+    bank = report.Bank(files, gift.parse(files))
+    n, tables = left(lambda: bank.n_duplicates)
+    assert n == 1 and bank.duplicates.count() == 1
+    assert not tables & {"word-sets", "word-counts", "near", "candidates", "vectors"}
