@@ -9,8 +9,10 @@ are left for the common words: these are dealt into groups, of which some must
 be equal, so each set's most telling groups are keys too (a prefix filter on
 groups). The few sets whose rare words leave more room than ``limit`` are
 compared with all. Sketches of 128 bits drop most pairs where they meet,
-before any list of words moves. What is left is compared exactly; no cap drops
-a pair. Keys that very many sets share are spread over several.
+before any list of words moves; as they tell little of long texts, longer ones
+fitted to the mean length follow there. What is left is compared exactly, a
+part of the pairs at a time; no cap drops a pair. Keys that very many sets
+share are spread over several.
 
 ``prepare`` reads the texts once; every function here takes its result or the
 texts themselves. A text or word that a third of all rows have is spread in
@@ -44,6 +46,10 @@ SLACK_SHARE, SAMPLE = 0.998, 64
 HOT = 20_000
 #: Words whose frequencies are sent to the workers, and sets to compare that are broadcast; above, joins are shuffled.
 VOCABULARY, CHOSEN = 4_000_000, 2_000_000
+#: Bits of the longer sketch for each word of a mean set, their range, and bytes of longer sketches that are sent to the workers; above, they are joined.
+LONG_TIMES, LONG_LEAST, LONG_MOST, LONG_BYTES = 4, 256, 4096, 64 << 20
+#: Pairs whose words are on disk at once: so many, or a pair for each so many words of all sets.
+SCORED, SCORED_WORDS = 100_000, 100
 #: From so many sets on, keys are met in this many rounds, so that not all of them are on disk at once; each cuts the keys anew.
 ROUNDS, ROUNDS_FROM = 2, 100_000
 #: Numbers in a matrix that is held at once.
@@ -162,6 +168,14 @@ class Keys:
             np.bitwise_xor.at(signs[i], rows[mine], np.uint64(1) << (bit[mine] & np.uint64(63)))
         return signs[0].view(np.int64), signs[1].view(np.int64)
 
+    @staticmethod
+    def long_sketch(rows: np.ndarray, words: np.ndarray, n: int, bits: int) -> np.ndarray:
+        """The same of ``bits`` bits, a power of two: n rows of 64-bit numbers."""
+        bit = (_mix(words.view(np.uint64) ^ np.uint64(0x2545F491)) & np.uint64(bits - 1)).astype(np.int64)
+        signs = np.zeros(n * (bits // 64), np.uint64)
+        np.bitwise_xor.at(signs, rows * (bits // 64) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        return signs.reshape(n, bits // 64)
+
     def keys(self, rows: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, key) of the sets within the limit."""
         size, slack, grouped, place = self.measure(rows, words, n)
@@ -215,6 +229,18 @@ def _meet(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], differ: float) -
     return np.nonzero(bits <= sizes * np.float32(differ) + np.float32(0.01))
 
 
+def _long_bits(n_words: int, n_sets: int) -> int:
+    """Bits of the longer sketch; 0 where the short one is as long."""
+    bits = 1 << max(LONG_TIMES * n_words // max(n_sets, 1) - 1, 0).bit_length()
+    return min(bits, LONG_MOST) if bits >= LONG_LEAST else 0
+
+
+def _close(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], differ: float) -> np.ndarray:
+    """Whether the longer sketches of rows, each (sketches, size), allow the similarity."""
+    bits = np.bitwise_count(a[0] ^ b[0]).sum(axis=1, dtype=np.int64)
+    return bits <= (a[1] + b[1]) * differ + 0.01
+
+
 @dataclass
 class Corpus:
     """Texts brought to classes, word frequencies and vectors, each computed once and stored."""
@@ -408,6 +434,49 @@ def candidate_pairs(corpus: Corpus, jaccard: float, passing: Passing) -> DataFra
             made.hot = keys, -(-n // least) + 1
             sent = spark.sparkContext.broadcast(made)
 
+    long_bits, differ = _long_bits(n_words, n_sets), made.differ
+
+    def long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, words, _ = _flat(batch, "")
+            signs = Keys.long_sketch(rows, words, batch.num_rows, long_bits)
+            sizes = np.bincount(rows, minlength=batch.num_rows)
+            lists = pa.FixedSizeBinaryArray.from_buffers(pa.binary(signs.shape[1] * 8), len(signs), [None, pa.py_buffer(signs)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("nr"), pa.array(sizes), lists], ["nr", "n", "sign"])
+
+    signed = sets.mapInArrow(long_sketches, "nr long, n long, sign binary") if long_bits else None
+    known = None
+    if long_bits and n_sets * long_bits // 8 <= LONG_BYTES:
+        table = signed.orderBy("nr").toArrow().combine_chunks()
+        known = spark.sparkContext.broadcast((table["nr"].to_numpy(), table["n"].to_numpy(), _signs(table["sign"], long_bits)))
+        del table
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs that the longer sketches allow, where all workers have these."""
+        if known is None:
+            yield from batches
+            return
+        names, sizes, signs = known.value
+        for batch in batches:
+            for x in range(0, batch.num_rows, CELLS * 8 // long_bits):
+                part = batch.slice(x, CELLS * 8 // long_bits)
+                i, j = (np.searchsorted(names, part.column(c).to_numpy()) for c in ("a", "b"))
+                yield part.filter(pa.array(_close((signs[i], sizes[i]), (signs[j], sizes[j]), differ)))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The same of distinct pairs, by joins."""
+        if known is not None or not long_bits:
+            return pairs
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = ((_signs(batch.column(f"sign_{x}"), long_bits), batch.column(f"n_{x}").to_numpy()) for x in "ab")
+                yield batch.select(["a", "b"]).filter(pa.array(_close(a, b, differ)))
+
+        for x in "ab":
+            pairs = pairs.join(signed.select(F.col("nr").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}")), x)
+        return pairs.mapInArrow(compare, "a long, b long")
+
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of rows of one key; rows come in the order of keys, so a key's lie together."""
         rest = None
@@ -418,16 +487,16 @@ def candidate_pairs(corpus: Corpus, jaccard: float, passing: Passing) -> DataFra
             key = block[0] >> SIZE_BITS
             last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # its rows may go on
             rest = [x[last:] for x in block]
-            yield from _pairs_of(*(x[:last] for x in block), sent.value.differ)
+            yield from close(_pairs_of(*(x[:last] for x in block), sent.value.differ))
         if rest is not None:
-            yield from _pairs_of(*rest, sent.value.differ)
+            yield from close(_pairs_of(*rest, sent.value.differ))
 
     rounds, parts = ROUNDS if n_sets >= ROUNDS_FROM else 1, Passing(spark)
     for turn in range(rounds):
         keyed = sets.mapInArrow(partial(cut, turn=turn, rounds=rounds), kinds).repartition(F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
         part = keyed.mapInArrow(pair_up, "a long, b long")
         if rounds > 1:
-            part = parts.keep(part.distinct(), "near")
+            part = parts.keep(joined(part.distinct()), "near")
             free_shuffles(spark)
         near = near.union(part) if turn else part
 
@@ -453,14 +522,20 @@ def candidate_pairs(corpus: Corpus, jaccard: float, passing: Passing) -> DataFra
                     i, j = _meet(tuple(c[x : x + step] for c in mine), signs_b, sent.value.differ)
                     a, b = nrs[x + i], other[j]
                     keep = a != b
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
+                    yield from close(iter([pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])]))
 
         near = near.union(sets.mapInArrow(against, "a long, b long"))
-    found = passing.keep(near.distinct(), "candidates")
+    found = passing.keep(joined(near.distinct()) if rounds == 1 or len(roomy[0]) else near.distinct(), "candidates")
     parts.drop()
     return found
 
 
+def _signs(column: pa.Array | pa.ChunkedArray, bits: int) -> np.ndarray:
+    """Longer sketches, one in a row."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.frombuffer(b"".join(b"".join(c.to_pylist()) for c in chunks), np.uint64).reshape(-1, bits // 64)
+
+
 def _pairs_of(key: np.ndarray, nr: np.ndarray, s: np.ndarray, t: np.ndarray, differ: float) -> Iterator[pa.RecordBatch]:
     """(a, b) of the rows of equal keys, in blocks of bounded size."""
     size, key = key & FULL, key >> SIZE_BITS
@@ -505,7 +580,8 @@ def _pairs_of(key: np.ndarray, nr: np.ndarray, s: np.ndarray, t: np.ndarray, dif
 def _scored(pairs: DataFrame, corpus: Corpus, floor: float, passing: Passing) -> DataFrame:
     """(a, b, jaccard, cosine) of pairs at or above the Jaccard ``floor``: both lists are merged, in time linear in their words."""
     chosen = pairs.select(F.col("a").alias("nr")).union(pairs.select("b")).distinct()
-    few = pairs.count() <= CHOSEN // 2
+    n_pairs = pairs.count()
+    few = n_pairs <= CHOSEN // 2
     valued = corpus.valued(corpus.sets.join(F.broadcast(chosen) if few else chosen, "nr", "left_semi"))
     vectors = passing.keep(valued, "vectors")
     free_shuffles(pairs.sparkSession)
@@ -532,7 +608,18 @@ def _scored(pairs: DataFrame, corpus: Corpus, floor: float, passing: Passing) ->
             found = [batch.column("a"), batch.column("b"), pa.array(jaccard), pa.array(cosine)]
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in found], ["a", "b", "jaccard", "cosine"])
 
-    return pairs.join(sides["a"], "a").join(sides["b"], "b").mapInArrow(merge, "a long, b long, jaccard double, cosine double")
+    def scored(part: DataFrame) -> DataFrame:
+        return part.join(sides["a"], "a").join(sides["b"], "b").mapInArrow(merge, "a long, b long, jaccard double, cosine double")
+
+    n_words = corpus.word_counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    turns = -(-n_pairs // max(SCORED, n_words // SCORED_WORDS))
+    if turns <= 1:
+        return scored(pairs)
+    for turn in range(turns):  # what a turn finds is short
+        part = passing.keep(scored(pairs.where(F.pmod(F.xxhash64("a"), F.lit(turns)) == turn)), "scored-part")
+        free_shuffles(pairs.sparkSession)
+        found = found.union(part) if turn else part
+    return found
 
 
 def similar_pairs(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFrame:

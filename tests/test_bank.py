@@ -63,6 +63,25 @@ def test_similar_among_common_words(spark, tmp_path, monkeypatch, threshold, hot
         assert stored_bytes() - before < 5 * sum(f.stat().st_size for f in (tmp_path / "texts").rglob("*.parquet"))
 
 
+@pytest.mark.parametrize(("sent", "rounds_from", "share"), [(1 << 26, 100_000, 0.998), (0, 0, 0.998), (0, 100_000, 0.0)])
+def test_similar_long_texts(spark, tmp_path, monkeypatch, sent, rounds_from, share):
+    """Long texts that share half their words: short sketches allow each pair, yet few are compared word by word, a part at a time."""
+    for name, value in (("LONG_BYTES", sent), ("ROUNDS_FROM", rounds_from), ("SLACK_SHARE", share), ("SCORED", 30), ("SCORED_WORDS", 10**9)):
+        monkeypatch.setattr(similar, name, value, raising=False)
+    draw, texts = random.Random(7), {}
+    for i in range(60):
+        words = [f"shared{k}" for k in range(150)] + [f"own{i}of{k}" for k in range(150)]
+        texts[2 * i] = " ".join(words)
+        texts[2 * i + 1] = " ".join([*draw.sample(words, 270 + i % 30), f"new{i}"])
+    _, want = brute_similar(texts, 0.85)
+    path = str(tmp_path / "texts")
+    spark.createDataFrame(list(texts.items()), "id long, text string").write.parquet(path)
+    corpus = similar.prepare(similar.cleaned(spark.read.parquet(path), "id", "text"))
+    got = {(r.a, r.b): r.similarity for r in similar.similar_pairs(corpus, 0.85).collect()}
+    assert len(want) > 30 and got == pytest.approx(want)
+    assert similar.candidate_pairs(corpus, 0.75, work.Passing(spark)).count() < 100
+
+
 @pytest.mark.parametrize("threshold", [0.85, 0.7, 0.5, 0.3])
 def test_similar_equals_all_pairs(spark, threshold):
     rows = spark.createDataFrame([*TEXTS.items(), (10, None)], "id long, text string")
