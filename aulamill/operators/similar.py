@@ -262,6 +262,18 @@ class Corpus:
         """(id, hash)."""
         return stored(self.clean.select("id", digest("clean").alias("hash")), "text-hashes")
 
+    def cleaned_once(self) -> None:
+        """Make the sets and the hashes of all texts from one pass over the texts, where both are needed."""
+        if "_hashed" in self.__dict__ or "sets" in self.__dict__:
+            return
+        passing, clean = Passing(self.clean.sparkSession), self.clean
+        self.clean = passing.keep(clean, "clean")
+        try:
+            _ = self._hashed, self.sets
+        finally:
+            self.clean = clean
+            passing.drop()
+
     @property
     def _distinct(self) -> DataFrame:
         return self.clean.groupBy("clean").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
@@ -678,6 +690,7 @@ def copies(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFrame:
 def links(clean: DataFrame | Corpus, threshold: float = 0.85) -> DataFrame:
     """(id, class_id, n_links): for each text its class and the number of texts it is similar to."""
     corpus = prepare(clean)
+    corpus.cleaned_once()
     pairs = stored(similar_pairs(corpus, threshold).select("a", "b"), "similar-pairs")
     free_shuffles(pairs.sparkSession)
     sizes = corpus._groups.select("hash", "class_id", "n_members")

@@ -346,6 +346,23 @@ def test_tables_left_by_links(spark, left):
     assert similar.links(corpus).count() == len(clean) and corpus.sets.count() == 7
 
 
+def test_links_clean_each_text_once(spark):
+    """The pass over the texts, which is most of the work on long ones, is not repeated for their hashes."""
+    from pyspark.sql import functions as F
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(text: str) -> str:
+        calls.add(1)
+        return text
+
+    clean, want = brute_similar(TEXTS, 0.85)
+    table = spark.createDataFrame(list(clean.items()), "id long, clean string")
+    found = similar.links(table.select("id", F.udf(same)("clean").alias("clean")))
+    assert {r.id: r.n_links for r in found.collect()} == {k: sum(k in p for p in want) for k in clean}
+    assert calls.value == len(clean)
+
+
 def test_shuffle_files_of_the_last_job_are_freed(spark):
     """Also those of the job that ended just before."""
     import time
