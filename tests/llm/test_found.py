@@ -218,6 +218,16 @@ def test_history_spreads_hot_pieces(spark, monkeypatch, tmp_path):
     known.close()
 
 
+def test_hot_pieces_are_found_before_the_history_is_written(spark, monkeypatch, tmp_path):
+    """Contents with hot pieces are cut and written once; nothing of a first try stays."""
+    monkeypatch.setattr(history, "HOT_LEAST", 20)
+    monkeypatch.setattr(history, "COMMON_LEAST", 0)
+    rows = [(i, "a b c d e f g h i j k l " + f"m{i % 7} n{i % 11} o{i % 13}") for i in range(1, 600)]
+    known = history.History.create(spark, str(tmp_path / "h"), as_sets(spark, rows))
+    assert known.state["hot"] and [p.name for p in (tmp_path / "h" / "contents").glob("v=*")] == [f"v={v}" for v in known.state["contents"]]
+    known.close()
+
+
 def test_sets_without_common_words_share_no_key():
     """Texts that have two common words each, and a rare one, meet at no piece of theirs."""
     import pyarrow as pa
